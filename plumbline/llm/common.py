@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once an application, so that their workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        package = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="plumbline-source-"), f"{package.name}.zip")
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(to))
+
+
 class Scratch:
     """Intermediate tables of one run, written to the shared folder so that a lost executor costs nothing.
 
@@ -44,6 +62,7 @@ class Scratch:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others can't clash with ours. A missing one is an AnalysisException."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, langid, quality, tokens
 
 QUERIES = {
+    "op2_quality_rules": quality.query,
+    "op4_token_counts": tokens.query,
+    "op9_language_id": langid.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {

@@ -66,12 +66,20 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some documents: hash, byte range and document of each."""
 
-    __slots__ = ("hash", "start", "end", "first", "n_docs")
+    __slots__ = ("hash", "start", "end", "first", "n_docs", "low")
 
-    def __init__(self, hash_: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray):
-        self.hash, self.start, self.end, self.first = hash_, start, end, first
+    def __init__(self, hash_: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray | None = None):
+        self.hash, self.start, self.end, self.first, self.low = hash_, start, end, first, low
         self.n_docs = len(first) - 1
 
+    def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have n bytes (7 at most) or more, and a key of their first n."""
+        at = np.flatnonzero(self.end - self.start >= n)
+        key = np.full(len(at), n << 56, U)
+        for j in range(n):
+            key |= self.low[self.start[at] + j].astype(U) << U(8 * j)
+        return at, mix(key)
+
     def doc(self) -> np.ndarray:
         """Index of each word's document."""
         return np.repeat(np.arange(self.n_docs), np.diff(self.first))
@@ -81,7 +89,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     """Hash every word; ``first[i]:first[i+1]`` are the words of document i."""
     if not len(raw):
         z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, U), z, z, np.zeros(len(offsets), np.int64))
+        return Words(np.zeros(0, U), z, z, np.zeros(len(offsets), np.int64), raw)
     t = _TABLE[raw]
     latin = np.flatnonzero(raw[:-1] == 0xC3) + 1
     b = raw[latin]
@@ -109,7 +117,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
             s, e = start[at:to] - lo, end[at:to] - lo
             out[at:to] = (prefix[e] - prefix[s]) * inv[s] + (e - s).astype(U)
             at = to
-    return Words(mix(out), start, end, np.searchsorted(start, offsets, side="left"))
+    return Words(mix(out), start, end, np.searchsorted(start, offsets, side="left"), t)
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
