@@ -118,3 +118,14 @@ def rows_binary(column: pa.Array | pa.ChunkedArray, dtype: np.dtype) -> tuple[np
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     raw = raw[offsets[0] : offsets[-1]]
     return np.frombuffer(raw.tobytes(), dtype), np.diff(offsets) // np.dtype(dtype).itemsize
+
+
+#: Ids up to which they are broadcast to be taken out; beyond that the rows are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Rows whose doc_id isn't among ``ids`` (one column, doc_id). Rows without an id stay."""
+    ids = Scratch(docs.sparkSession, "ids").write(ids.select(F.col("doc_id").alias("__gone")), "ids")
+    few = ids.count() <= limit
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long") == ids["__gone"], "left_anti")
