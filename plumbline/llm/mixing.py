@@ -1,5 +1,8 @@
 """Mixing sources to target weights by fitting token budgets exactly.
 
+Tokens are words in the sense of ``textops``, or, with the path of a unigram
+vocabulary, the tokens that ``tokens`` counts (about eight times the CPU time).
+
 Documents are counted by source and exact token length. Each source gets a budget
 in proportion to its weight; a source with fewer tokens gives all it has and the
 rest is shared among the others. Per source, the same share of every length is
@@ -30,8 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, ship
-from .textops import text_chunks
-from .tokens import VOCABULARY, counter
+from .textops import buffers, text_chunks, words
+from .tokens import counter
 
 SHARE, TEMPER, SEED = 0.9, 0.7, 2024
 #: Tokens up to which the remaining budget goes to dynamic programming; larger remainders are first reduced by whole documents.
@@ -40,13 +43,20 @@ CELLS = 1 << 21
 BROADCAST_CUTS = 1_000_000
 
 
-def lengths(docs: DataFrame, path: str = VOCABULARY, seed: int = SEED) -> DataFrame:
+def token_lengths(batch: pa.RecordBatch, path: str | None) -> pa.Array:
+    """Exact tokens of each text."""
+    if path is None:
+        return pa.array(np.diff(words(*buffers(batch.column("text"))).first))
+    of = counter(path)
+    return pa.array([of.text(t) for t in batch.column("text").to_pylist()], pa.int64())
+
+
+def lengths(docs: DataFrame, path: str | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, source, its key, n_tokens and seeded hash of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = counter(path)
         for batch in text_chunks(batches, "text"):
-            n = pa.array([of.text(t) for t in batch.column("text").to_pylist()], pa.int64())
+            n = token_lengths(batch, path)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n, batch.column("h")], ["doc_id", "source", "n_tokens", "h"])
 
     need = pick(docs, "doc_id", "text", "source").select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
@@ -166,7 +176,7 @@ def selected(lens: DataFrame, **how) -> DataFrame:
     return lens.join(cut, ["key", "n_tokens"]).filter("h <= cut").select("doc_id", "source", "n_tokens")
 
 
-def mixed(docs: DataFrame, path: str = VOCABULARY, seed: int = SEED, broadcast_cuts: int = BROADCAST_CUTS, **how) -> DataFrame:
+def mixed(docs: DataFrame, path: str | None = None, seed: int = SEED, broadcast_cuts: int = BROADCAST_CUTS, **how) -> DataFrame:
     """The documents, with all their columns, that are selected. Texts aren't shuffled while the cuts are few."""
     scratch = Scratch(docs.sparkSession, "mixing")
     lens = scratch.write(lengths(docs, path, seed), "lengths")
@@ -178,9 +188,9 @@ def mixed(docs: DataFrame, path: str = VOCABULARY, seed: int = SEED, broadcast_c
         hashed = docs.withColumn("__h", F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"].cast("string")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, cut_of = counter(path), held.value
+            cut_of = held.value
             for batch in text_chunks(batches, "text"):
-                n = [of.text(t) for t in batch.column("text").to_pylist()]
+                n = token_lengths(batch, path).to_pylist()
                 key = ["n" if s is None else f"s{s}" for s in batch.column("source").to_pylist()]
                 h = batch.column("__h").to_pylist()
                 keep = [(c := cut_of.get((k, m))) is not None and x <= c for k, m, x in zip(key, n, h, strict=True)]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, neardup, pii, quality, tokens
+from . import decontaminate, langid, mixing, neardup, pii, quality, substring, tokens
 
 QUERIES = {
     "op2_quality_rules": quality.query,
     "op3_source_mixing": mixing.query,
     "op4_token_counts": tokens.query,
     "op6_ngram_jaccard": neardup.query,
+    "op7_substring_dedup": substring.query,
     "op8_pii": pii.query,
     "op9_language_id": langid.query,
     "op10_benchmark_decontamination": decontaminate.query,
