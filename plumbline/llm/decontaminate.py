@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_rows, column_to_numpy, pick, rows_binary
+from .common import Scratch, binary_rows, pick, rows_binary, without_ids
 from .textops import U, Words, buffers, grams, ranges, text_chunks, winnow, words
 
 K, WINDOW = 8, 6
@@ -161,9 +161,8 @@ def _by_shuffle(docs: DataFrame, item_words: DataFrame, k: int, window: int, lea
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """Documents, with all their columns, that share no span with the benchmark. Rows of a null id are kept."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad"], "left_anti")
+    """Documents, with all their columns, that share no span with the benchmark. Rows of a null id can't be named and are kept."""
+    return without_ids(docs, contaminated(docs, benchmark, **how).select("doc_id").distinct())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
