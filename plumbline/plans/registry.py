@@ -657,3 +657,118 @@ def _(get, spark):
 @query("hint_left_join", "SELECT package, reachable FROM d_packages LEFT JOIN d_hints USING (package)")
 def _(get, spark):
     return get("d_packages").join(get("d_hints"), "package", "left").select("package", "reachable")
+
+
+# ---- text, sources and sinks -----------------------------------------------------
+
+from ..operators import detect  # noqa: E402
+from ..sinks import reports  # noqa: E402
+from ..sources import files as inputs  # noqa: E402
+
+
+def _texts(get) -> DataFrame:
+    return get("documents").select(F.lit("go").alias("lang"), F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "doc_id")
+
+
+@query("line_scan", r"SELECT source AS project, CAST(doc_id AS STRING) AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n, CAST(len(text) - len(string_split(text, chr(10))) + 1 AS BIGINT) AS chars FROM documents")
+def _(get, spark):
+    return detect.scan(_texts(get)).groupBy("project", "path").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+@query("loc_count", r"SELECT source AS project, CAST(doc_id AS STRING) AS path, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INT) AS loc FROM documents")
+def _(get, spark):
+    return detect.loc(_texts(get))
+
+
+_WORDS = {"token": "env", "the": "fs:read", "der": "network", "que": "exec", "###": "unsafe", "| ": "plugin"}
+
+
+@query("callsite_contains", "SELECT CAST(doc_id AS STRING) AS path, capability, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents) l JOIN (VALUES " + ", ".join(f"('{k}', '{c}')" for k, c in _WORDS.items()) + ") AS w(key, capability) ON contains(value, key) GROUP BY ALL")
+def _(get, spark):
+    cat = spark.createDataFrame([("x", "call", k, c) for k, c in _WORDS.items()], "lang string, kind string, key string, capability string")
+    found = detect.match_calls(detect.scan(_texts(get).withColumn("lang", F.lit("x"))), cat)
+    return found.groupBy("path", "capability").agg(F.count("*").alias("n"))
+
+
+_PREFIX = ["brand.11", "brand.11.economy", "brand.2", "brand.23.promo", "brand.33.standard.anodized"]
+_DOTS = "(SELECT package, replace(name, '/', '.') AS m FROM d_names) d"
+
+
+@query("import_prefix_join", f"""SELECT package, key FROM (SELECT package, key, row_number() OVER (PARTITION BY package ORDER BY length(key) DESC) AS r FROM {_DOTS}
+  JOIN (VALUES {', '.join(f"('{p}')" for p in _PREFIX)}) AS w(key) ON m = key OR starts_with(m, key || '.')) x WHERE r = 1""")
+def _(get, spark):
+    cat = spark.createDataFrame([("java", "import", p, "exec") for p in _PREFIX], "lang string, kind string, key string, capability string")
+    found = get("d_names").select(F.lit("java").alias("lang"), F.lit("p").alias("project"), F.col("package").cast("string").alias("path"), F.lit(1).alias("line"), F.translate("name", "/", ".").alias("module"))
+    return detect.match_imports(found, cat).select(F.col("path").cast("long").alias("package"), "key")
+
+
+@query("import_all_prefixes", f"""SELECT package, key FROM {_DOTS} JOIN (VALUES {', '.join(f"('{p}')" for p in _PREFIX)}) AS w(key) ON m = key OR starts_with(m, key || '.')""")
+def _(get, spark):
+    cat = spark.createDataFrame([("python", "import", p, "exec") for p in _PREFIX], "lang string, kind string, key string, capability string")
+    found = get("d_names").select(F.lit("python").alias("lang"), F.lit("p").alias("project"), F.col("package").cast("string").alias("path"), F.lit(1).alias("line"), F.translate("name", "/", ".").alias("module"))
+    return detect.match_imports(found, cat).select(F.col("path").cast("long").alias("package"), "key")
+
+
+@query("html_links", """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages) x GROUP BY ALL""")
+def _(get, spark):
+    return get("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query("first_seen_dedupe", "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM d_edges16) x WHERE r = 1")
+def _(get, spark):
+    return get("d_edges16").groupBy("src").agg(F.min("dst").alias("dst"))
+
+
+@query("levenshtein_hint", "SELECT p_partkey AS package, min(levenshtein(p_type, 'LARGO')) AS distance FROM part GROUP BY ALL HAVING min(levenshtein(p_type, 'LARGO')) < 5")
+def _(get, spark):
+    return get("part").select(F.col("p_partkey").alias("package"), F.levenshtein("p_type", F.lit("LARGO")).alias("distance")).filter("distance < 5")
+
+
+@query("name_scalars", """SELECT p_partkey AS package, name LIKE '%/v1' AS has_major, regexp_replace(name, '/v[0-9]+$', '') AS base, string_split(name, '/')[1] AS bare, replace(replace(name, '-', '_'), '.', '_') AS folded,
+  string_split(name, '/')[-2] || '/' || string_split(name, '/')[-1] AS label FROM (SELECT p_partkey, lower(replace(p_name, ' ', '-')) || '/x.y/v' || (p_partkey % 3) AS name FROM part) y""".replace("name LIKE '%/v1'", "regexp_matches(name, '/v[0-9]+$')"))
+def _(get, spark):
+    n = F.concat(F.lower(F.regexp_replace("p_name", " ", "-")), F.lit("/x.y/v"), (F.col("p_partkey") % 3).cast("string"))
+    p = get("part").select(F.col("p_partkey").alias("package"), n.alias("name"))
+    c = F.col("name")
+    return p.select("package", S.has_major(c).alias("has_major"), S.module_base(c).alias("base"), S.bare_module(c).alias("bare"), S.python_name(c).alias("folded"), S.short_label(c).alias("label"))
+
+
+@query("sbom_components", """SELECT m.module, m.version, 'pkg:golang/' || m.module || '@' || m.version AS purl, coalesce(caps, '') AS capabilities, CASE WHEN risk = 3 THEN 'HIGH' WHEN risk = 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM d_modules m
+  JOIN (SELECT module, max(CASE WHEN score >= 30 THEN 3 WHEN score >= 10 THEN 2 ELSE 1 END) AS risk FROM d_packages LEFT JOIN d_sets USING (package) WHERE NOT is_main AND module IS NOT NULL GROUP BY module) r ON r.module = m.module
+  LEFT JOIN (SELECT module, string_agg(DISTINCT capability, ',' ORDER BY capability) AS caps FROM d_packages JOIN d_percap USING (package) WHERE NOT is_main AND module IS NOT NULL GROUP BY module) c ON c.module = m.module""")
+def _(get, spark):
+    health = spark.createDataFrame([], "module long, score int")
+    parts = reports.components(get("d_modules").select("module", "version"), get("d_packages"), capset.build(get("d_evidence")), health)
+    return parts.select("module", "version", "purl", F.array_join("capabilities", ",").alias("capabilities"), "risk_level")
+
+
+@query("sarif_results", f"SELECT 'high-risk-capability' AS rule, CAST(package AS STRING) AS name FROM d_sets WHERE score >= 30 UNION ALL SELECT 'low-health', CAST(module AS STRING) FROM d_modules WHERE s_acctbal < 40")
+def _(get, spark):
+    caps = capset.build(get("d_evidence")).withColumn("level", S.risk_level(F.col("score")))
+    return reports.sarif(caps, get("d_modules").select("module", F.col("s_acctbal").alias("score"))).select("rule", "name")
+
+
+@query("graph_checksum", """SELECT substr(sha256('[' || (SELECT string_agg('{"module":"' || module || '","version":"' || version || '"}', ',' ORDER BY CAST(module AS STRING)) FROM d_modules) || ']' ||
+  '[' || (SELECT string_agg('{"src":"' || src || '","dst":"' || dst || '"}', ',' ORDER BY CAST(src AS STRING), CAST(dst AS STRING)) FROM d_edges64) || ']'), 1, 16) AS checksum""")
+def _(get, spark):
+    return reports.checksum(get("d_modules").withColumn("is_main", F.lit(False)), get("d_edges64"))
+
+
+@query("viz_subgraph", f"SELECT src, dst FROM d_edges16 WHERE src IN (SELECT package FROM d_sets WHERE score >= 30) AND dst IN (SELECT package FROM d_sets WHERE score >= 30)")
+def _(get, spark):
+    level = capset.build(get("d_evidence")).select(F.col("package").alias("node"), S.risk_level(F.col("score")).alias("level"))
+    return reports.subgraph(get("d_edges16"), level, "high")[1]
+
+
+@query("explain_text", """SELECT package, capability, string_agg(file || ':' || line || ' via ' || via, '; ' ORDER BY rank) || CASE WHEN max(total) > count(*) THEN ' (and ' || (max(total) - count(*)) || ' more)' ELSE '' END AS text FROM
+  (SELECT *, row_number() OVER (PARTITION BY package, capability ORDER BY confidence DESC, file, line, via) AS rank, count(*) OVER (PARTITION BY package, capability) AS total FROM d_evidence) x WHERE rank <= 3 GROUP BY package, capability""")
+def _(get, spark):
+    return reports.explained(capset.top_evidence(get("d_evidence")))
+
+
+@query("trace_events", """SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'filesystem' WHEN 1 THEN 'network' ELSE 'subprocess' END AS kind,
+  CASE event_id % 3 WHEN 0 THEN '/tmp/' || user_id WHEN 1 THEN '10.0.0.' || (user_id % 200) || ':443' ELSE '/bin/' || event_type END AS detail FROM events""")
+def _(get, spark):
+    k, u = F.col("event_id") % 3, F.col("user_id").cast("string")
+    line = F.when(k == 0, F.concat(F.lit('[pid 7] openat(AT_FDCWD, "/tmp/'), u, F.lit('", O_RDONLY) = 3'))).when(k == 1, F.concat(F.lit('connect(3, {sa_family=AF_INET, sin_port=htons(443), sin_addr=inet_addr("10.0.0.'), (F.col("user_id") % 200).cast("string"), F.lit('")}, 16) = 0'))).otherwise(F.concat(F.lit('execve("/bin/'), "event_type", F.lit('", ["x"], 0x7) = 0')))
+    return inputs.trace_events(get("events").select(line.alias("value")))
