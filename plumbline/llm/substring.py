@@ -41,6 +41,10 @@ from .textops import U, buffers, mix, ranges, span_hash, text_chunks, winnow, wo
 
 BASE = 25
 LENGTH = 2 * BASE
+#: Occurrences of an anchor up to which one task looks at all of them; those of more frequent
+#: anchors are counted window by window, which combines before the shuffle.
+HOT = 200_000
+LEVEL1 = "doc_id long, place int, at binary, later binary, window binary"
 SPANS = "doc_id long, start int, end int, words int, longest int, later int"
 
 
@@ -74,15 +78,46 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _anchors(batches):
+        yield batch.select(["anchor"])
+
+
+def _windows(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and hash of all 50-word windows of anchor rows."""
+    anchor, place, first = (column_to_numpy(table, c) for c in ("anchor", "place", "first"))
+    part, n = rows_binary(table.column("windows"), np.uint32)
+    row = np.repeat(np.arange(len(n)), n)
+    at = first[row].astype(np.int64) + ranges(np.zeros(len(n), np.int64), n)
+    with np.errstate(over="ignore"):
+        return row, at, mix(mix(anchor.view(U)[row]) + (place[row] - at).astype(U) * U(0x9E3779B97F4A7C15) + (part.astype(U) << U(7)))
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per window."""
+    for batch in batches:
+        if batch.num_rows:
+            row, at, window = _windows(batch)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), batch.column("doc_id").take(take), batch.column("place").take(take), pa.array(at.astype(np.int32))], ["window", "doc_id", "place", "at"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one repeated window each, in the form of ``_repeated``."""
+    for batch in batches:
+        one = np.ones(batch.num_rows, np.int64)
+        at, later, window = (column_to_numpy(batch, c) for c in ("at", "later", "window"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("place"), binary_rows(at.astype(np.int32), one), binary_rows(later.astype(np.uint8), one), binary_rows(window.astype(np.int64), one)],
+            ["doc_id", "place", "at", "later", "window"],
+        )
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows side by side by anchor: the windows that occur more than once, and which of them occur earlier too."""
     for table in whole_groups(batches, "anchor"):
-        anchor, doc, place, first = (column_to_numpy(table, c) for c in ("anchor", "doc_id", "place", "first"))
-        part, n = rows_binary(table.column("windows"), np.uint32)
-        row = np.repeat(np.arange(len(n)), n)
-        at = first[row].astype(np.int64) + ranges(np.zeros(len(n), np.int64), n)
-        with np.errstate(over="ignore"):
-            window = mix(mix(anchor.view(U)[row]) + (place[row] - at).astype(U) * U(0x9E3779B97F4A7C15) + (part.astype(U) << U(7)))
+        doc, place, first = (column_to_numpy(table, c) for c in ("doc_id", "place", "first"))
+        row, at, window = _windows(table)
         order = np.lexsort((at, doc[row], window))
         win, d, p = window[order], doc[row][order], at[order]
         fresh = np.concatenate([[True], (win[1:] != win[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])])  # not again for repeated rows
@@ -172,12 +207,30 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Maximal repeated spans of each document (see the module)."""
+def _hot_windows(rows: DataFrame) -> DataFrame:
+    """What ``_repeated`` finds, for anchors of which one task can't hold all occurrences."""
+    each = rows.mapInArrow(_spread, "window long, doc_id long, place int, at int").distinct()
+    twice = each.groupBy("window").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "at")).alias("least")).filter("m > 1").select("window", "least")
+    hit = each.join(twice, "window").select("doc_id", "place", "at", (F.struct("doc_id", "at") != F.col("least")).alias("later"), "window")
+    return hit.mapInArrow(_packed, LEVEL1)
+
+
+def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Maximal repeated spans of each document (see the module).
+
+    Anchors are counted first, in a pass of its own. Those that occur more than ``hot``
+    times take another way to the same result.
+    """
     scratch = Scratch(docs.sparkSession, "substring")
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    frequent = scratch.write(docs.mapInArrow(_anchor_hashes, "anchor long").groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("anchor"), "hot")
     anchors = docs.mapInArrow(_anchors, "anchor long, doc_id long, place int, first int, windows binary")
-    level1 = scratch.write(clustered(anchors, "anchor").mapInArrow(_repeated, "doc_id long, place int, at binary, later binary, window binary"), "windows")
+    if frequent.isEmpty():
+        found = clustered(anchors, "anchor").mapInArrow(_repeated, LEVEL1)
+    else:  # there are at most (anchors / hot) of them
+        cold = anchors.join(frequent, "anchor", "left_anti")
+        found = clustered(cold, "anchor").mapInArrow(_repeated, LEVEL1).unionByName(_hot_windows(anchors.join(frequent, "anchor", "left_semi")))
+    level1 = scratch.write(found, "windows")
     found = scratch.write(clustered(level1, "doc_id").mapInArrow(_stitch, "doc_id long, start int, end int, later int, hash long, length int"), "stitched")
     scratch.drop("windows")
     spans = found.filter("hash IS NULL").select("doc_id", "start", "end", "later")

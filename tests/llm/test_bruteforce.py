@@ -110,6 +110,7 @@ def test_substrings_are_those_of_brute_force(spark):
     assert {(r.doc_id, r.start, r.end, r.later) for r in rows} == spans_by_brute_force(text)
     assert all(r.words == r.end - r.start >= 50 for r in rows) and all(50 <= r.longest <= r.words for r in rows)
     assert any(r.longest >= 100 for r in rows)
+    assert {tuple(r) for r in substring.repeats(docs, hot=1).collect()} == {tuple(r) for r in rows}
 
 
 def test_substrings_repeated_within_a_text(spark):
