@@ -129,3 +129,12 @@ def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) ->
     ids = Scratch(docs.sparkSession, "ids").write(ids.select(F.col("doc_id").alias("__gone")), "ids")
     few = ids.count() <= limit
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long") == ids["__gone"], "left_anti")
+
+
+def lowest(h: Column, wanted: int, of: Column) -> Column:
+    """Whether a 64-bit hash is among the lowest of its range: about twice what is wanted of so many rows.
+
+    A filter before ordering by the hash and taking ``wanted``, so that only few rows
+    are ordered; the result is the same.
+    """
+    return h.cast("double") <= -(2.0**63) + F.least(F.lit(1.0), (2.0 * wanted + 64.0) / F.greatest(of, F.lit(1))) * 2.0**64

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import lowest, pick
 from .textops import text_chunks
 
 SAMPLE, DICTIONARY_BYTES, SEED = 150, 64 << 10, 5
@@ -36,9 +36,11 @@ UNKNOWN = "und"
 def dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_BYTES, seed: int = SEED) -> dict[str, bytes]:
     """Raw dictionary content by language."""
     rows = pick(labelled, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     share = max(1, size // max(1, sample))
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h")).withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id", "lang", "r")
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h")).join(F.broadcast(counts), "lang").filter(lowest(F.col("h"), sample, F.col("n")))
+    ids = hashed.withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id", "lang", "r")
     got = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "r", F.substring("text", 1, share).alias("part")).collect()
     out: dict[str, list] = {}
     for row in sorted(got, key=lambda x: (x.lang, -x.r, x.part)):

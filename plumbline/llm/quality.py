@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, pick, rows_binary, ship
+from .common import binary_rows, lowest, pick, rows_binary, ship
 from .textops import U, buffers, grams, mix, ranges, text_chunks, words
 
 SAMPLE, SEED, CUT = 10_000, 17, 0.5
@@ -219,9 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     labels = pick(labels, "doc_id", "quality", "toxic")
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     toxic = F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (bad + 2 * toxic).alias("bad")).dropna()
     chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), (bad + 2 * toxic).alias("bad"))
-        .dropna()
+        labelled.filter(lowest(F.xxhash64("doc_id", F.lit(seed)), sample, F.lit(labelled.count())))
         .groupBy("doc_id")
         .agg(F.max("bad").alias("bad"))
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, shared_dir
+from .common import lowest, pick, shared_dir
 from .textops import text_chunks
 
 ROLL_BYTES, SHARD_RECORDS, SAMPLE = 64 << 20, 20_000, 20_000
@@ -109,14 +109,16 @@ def _key(url):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
 
 
-def boundaries(keys: DataFrame, shards: int, sample: int = SAMPLE) -> list[str]:
-    """Keys that cut the table into shards: quantiles of the distinct keys with the smallest hashes.
+def boundaries(keys: DataFrame, rows: int, shards: int, sample: int = SAMPLE) -> list[str]:
+    """Keys that cut the table into shards: quantiles of the distinct keys whose hash is in the lowest sample / rows of its range.
 
-    The sample is bounded and only balances shards; it depends on no partitioning.
+    So about ``sample`` keys at most come to the driver, from no more than they are in
+    each partition. They only balance shards, and depend on the keys alone.
     """
     if shards < 2:
         return []
-    got = sorted(r.key for r in keys.select("key", F.xxhash64("key").alias("h")).distinct().orderBy("h", "key").limit(sample).collect())
+    low = lowest(F.xxhash64("key"), sample // 2, F.lit(rows))
+    got = sorted(r.key for r in keys.select("key").filter(low).distinct().collect())
     return sorted({got[len(got) * i // shards] for i in range(1, shards)}) if got else []
 
 
@@ -132,8 +134,8 @@ def write(pages: DataFrame, to: str, roll_bytes: int = ROLL_BYTES, shard_records
     clean = F.regexp_replace(url, r"[\r\n]", "")
     rows = rows.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), F.date_format(F.to_utc_timestamp(stamp, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("key", _key(F.col("url")))
-    shards = max(1, -(-rows.count() // shard_records))
-    cuts = boundaries(rows, shards)
+    total = rows.count()
+    cuts = boundaries(rows, total, max(1, -(-total // shard_records)))
     held = spark.sparkContext.broadcast(np.array(cuts, dtype=object))
 
     @F.pandas_udf("int")
