@@ -155,7 +155,7 @@ def span_of(h: np.ndarray) -> int:
     return int(span_hash(h, len(h))[0]) if len(h) else 0
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``size`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
