@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import capset, compare, detect, engines, graph, interproc, policy, score, taint
+from ..operators import capset, compare, detect, engines, graph, history, interproc, policy, score, taint
 from ..sinks import reports
 from ..sources import catalog as catalogs
 from ..sources import files as inputs
@@ -203,8 +203,10 @@ class Commands:
         return engines.topology_signals(engines.topology_metrics(depths, direct.withColumnRenamed("node", "package"), pk.select(S.module_base(F.col("name")).alias("base"), "version"), churn))
 
     def integrity(self, files: DataFrame) -> DataFrame:
-        """Violations of npm and go lockfiles."""
-        npm = engines.npm_integrity(manifests.npm_lock(files).withColumnRenamed("name", "package"))
+        """Violations of npm, yarn, pnpm and go lockfiles."""
+        cols = ("project", "package", "integrity", "resolved")
+        node = manifests.npm_lock(files).withColumnRenamed("name", "package").select(*cols).unionByName(manifests.yarn_sources(files).select(*cols)).unionByName(manifests.pnpm_sources(files).select(*cols))
+        npm = engines.npm_integrity(node)
         mods = inputs.go_mod(files)
         go = engines.go_integrity(mods.filter("kind = 'require'").select(F.col("module").alias("package")), inputs.go_sum(files), mods.filter("kind = 'replace'").select(F.col("module").alias("package"), "target"))
         return npm.select("package", "type", "points").unionByName(go)
@@ -218,6 +220,24 @@ class Commands:
         inside = modules.select("module", F.col("module").alias("package"), F.lit(False).alias("is_main"))
         return reports.cyclonedx(reports.components(modules, inside, capset.build(self.scanner.evidence(files)), health, "generic"))
 
+    def viz(self, files: DataFrame, kind: str = "json", least: str = "low") -> DataFrame:
+        """The dependency graph as json, dot or html."""
+        risk = self.graph(files).select(F.col("module").alias("node"), "level")
+        nodes, edges = reports.subgraph(manifests.edges(manifests.packages(files)).select("src", "dst").distinct(), risk, least)
+        return {"json": reports.node_link, "dot": reports.dot, "html": reports.html}[kind](nodes, edges)
+
+    def record(self, files: DataFrame, past: DataFrame) -> DataFrame:
+        """History (seq, module, score, level) with a snapshot of the modules' effective scores."""
+        now = self.graph(files).select("module", F.col("effective").cast("int").alias("score"), "level")
+        return reports.append_snapshot(past, now)
+
+    def changes(self, past: DataFrame, old: int | None = None, new: int | None = None) -> DataFrame:
+        return compare.snapshots(*history.pair(past, old, new))
+
+    def trend(self, past: DataFrame, module: str | None = None) -> DataFrame:
+        t = history.trend(past)
+        return t if module is None else t.filter(F.col("module") == module)
+
     def trace(self, rows: DataFrame, limit: int = 24) -> DataFrame:
         return inputs.trace_events(rows).orderBy("kind", "detail").limit(limit)
 

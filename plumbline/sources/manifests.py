@@ -217,20 +217,30 @@ def maven(files: DataFrame) -> DataFrame:
     return rows.filter("name <> ':' AND name <> ''")
 
 
-def direct_names(files: DataFrame) -> DataFrame:
+def present(files: DataFrame) -> set[str]:
+    """The file patterns of specs that some file has: one pass over the names, one row to the driver."""
+    patterns = sorted({s.file for s in LINES} | {j[1] for j in JSON} | {p for p, _ in DIRECT_JSON.values()} | {r"package-lock\.json", r"pom\.xml"})
+    row = files.agg(*[F.bool_or(base(F.col("path")).rlike(f"^(?:{p})$")).alias(f"p{i}") for i, p in enumerate(patterns)]).first()
+    return {p for p, hit in zip(patterns, row, strict=True) if hit}
+
+
+def direct_names(files: DataFrame, there: set[str]) -> DataFrame:
     """lang, project, name: what manifests name beside their lockfiles."""
-    out = []
+    out = [files.sparkSession.createDataFrame([], "lang string, project string, name string")]
     for lang, (pattern, fields) in DIRECT_JSON.items():
+        if pattern not in there:
+            continue
         doc = _named(files, pattern).select("project", F.from_json("content", ", ".join(f"`{f}` map<string,string>" for f in fields)).alias("d"))
         for f in fields:
             out.append(doc.select(F.lit(lang).alias("lang"), "project", F.explode(F.map_keys(F.col(f"d.`{f}`"))).alias("name")))
     for s in LINES:
-        if s.direct:
+        if s.direct and s.file in there:
             out.append(parse_lines(files, s).select("lang", "project", "name"))
     gem = lines(_named(files, r"Gemfile\.lock"))
     w = Window.partitionBy("project", "path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     gem = gem.withColumn("section", F.last(_first(F.col("value"), r"^([A-Z]+)\s*$"), ignorenulls=True).over(w)).filter("section = 'DEPENDENCIES'")
-    out.append(gem.select(F.lit("ruby").alias("lang"), "project", _first(F.col("value"), r"^  ([^\s(!]+)").alias("name")).dropna())
+    if r"Gemfile\.lock" in there:
+        out.append(gem.select(F.lit("ruby").alias("lang"), "project", _first(F.col("value"), r"^  ([^\s(!]+)").alias("name")).dropna())
     return reduce(DataFrame.unionByName, out).distinct()
 
 
@@ -240,16 +250,18 @@ def packages(files: DataFrame, langs: list[str] | None = None) -> DataFrame:
     unknown = set(langs or []) - {*LANGUAGES}
     if unknown:
         raise ValueError(f"unknown languages: {', '.join(sorted(unknown))}")
-    parts = [parse_lines(files, s) for s in LINES if want(s.lang)]
-    parts += [_json(files, *j) for j in JSON if want(j[0])]
-    if want("node"):
+    there = present(files)
+    parts = [files.sparkSession.createDataFrame([], PACKAGE + ", rank int")]
+    parts += [parse_lines(files, s) for s in LINES if want(s.lang) and s.file in there]
+    parts += [_json(files, *j) for j in JSON if want(j[0]) and j[1] in there]
+    if want("node") and r"package-lock\.json" in there:
         parts.append(npm_lock(files).select(F.lit("node").alias("lang"), "project", "name", F.coalesce("version", F.lit("")).alias("version"), "dependencies", F.lit(False).alias("direct"), "seq", F.lit(1).alias("rank")))
-    if want("java"):
+    if want("java") and r"pom\.xml" in there:
         parts.append(maven(files))
     rows = reduce(DataFrame.unionByName, parts)
     best = rows.withColumn("best", F.min("rank").over(Window.partitionBy("lang", "project"))).filter("rank = best")
     once = best.withColumn("r", F.row_number().over(Window.partitionBy("lang", "project", "name", "version").orderBy("seq"))).filter("r = 1")
-    named = direct_names(files).withColumn("named", F.lit(True)).withColumnRenamed("lang", "l").withColumnRenamed("project", "p").withColumnRenamed("name", "n")
+    named = direct_names(files, there).withColumn("named", F.lit(True)).withColumnRenamed("lang", "l").withColumnRenamed("project", "p").withColumnRenamed("name", "n")
     fold = lambda c, lang: F.when(lang == "python", S.python_name(c)).otherwise(c)
     hit = (F.col("lang") == F.col("l")) & (F.col("project") == F.col("p")) & (fold(F.col("name"), F.col("lang")) == fold(F.col("n"), F.col("l")))
     return once.join(named, hit, "left").select("lang", "project", "name", "version", "dependencies", (F.col("direct") | F.coalesce("named", F.lit(False))).alias("direct"), "seq").distinct()
@@ -286,3 +298,52 @@ def detect(files: DataFrame) -> DataFrame:
     for name, pattern in DETECT:
         lang = lang.when(has(pattern), name)
     return names.select("project", lang.otherwise("go").alias("lang"))
+
+
+def features(lang: str) -> dict[str, bool]:
+    """What can be done for a language; ``multi`` stands for go here. An unknown one is a ValueError."""
+    lang = "go" if lang == "multi" else lang
+    if lang not in LANGUAGES:
+        raise ValueError(f"unknown language {lang!r}")
+    return {"manifest": True, "imports": True, "functions": lang != "php", "pr_diff": True, "integrity": lang in ("go", "node"), "topology": True}
+
+
+def yarn_sources(files: DataFrame) -> DataFrame:
+    """project, package, resolved of each yarn.lock block; the format has no digest that counts, so integrity is set."""
+    rows = lines(_named(files, r"yarn\.lock")).filter(~F.col("value").rlike(r"^\s*(?:#|$)"))
+    head = F.when(~F.col("value").rlike(r"^\s"), F.regexp_extract("value", r'^"?(@?[^@",:]+)', 1))
+    w = Window.partitionBy("project", "path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("block", F.sum(head.isNotNull().cast("int")).over(w)).withColumn("head", head)
+    resolved = F.nullif(F.regexp_extract("value", r'^\s+(?:resolved|resolution:) "?([^"]+)"?', 1), F.lit(""))
+    return rows.filter("block > 0").groupBy("project", "block").agg(F.max("head").alias("package"), F.max(resolved).alias("resolved")).select("project", "package", F.lit("-").alias("integrity"), "resolved")
+
+
+def pnpm_sources(files: DataFrame) -> DataFrame:
+    """project, package, resolved of the importers in pnpm-lock.yaml; its store keeps the digests."""
+    rows = lines(_named(files, r"pnpm-lock\.yaml"))
+    w = Window.partitionBy("project", "path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section", F.last(_first(F.col("value"), r"^(\w+):"), ignorenulls=True).over(w)).filter("section = 'importers'")
+    dep = F.when(F.col("value").rlike(r"^ {6,}\S.*:\s*$"), F.regexp_extract("value", r"^\s+['\"]?([^'\":]+)['\"]?:\s*$", 1))
+    rows = rows.withColumn("package", F.last(dep, ignorenulls=True).over(w)).withColumn("resolved", F.nullif(F.regexp_extract("value", r"^\s*specifier:\s*['\"]?([^'\"\s]+)", 1), F.lit("")))
+    return rows.filter("resolved IS NOT NULL AND package IS NOT NULL").select("project", "package", F.lit("-").alias("integrity"), F.regexp_replace("resolved", "^gitlab:", "git+").alias("resolved"))
+
+
+def workspace_members(files: DataFrame) -> DataFrame:
+    """project, rank, pattern: member folders that a workspace file names (go.work, else pnpm, else npm); * is one folder."""
+    go = lines(_named(files, r"go\.work")).withColumn("m", F.regexp_extract("value", r"^\s*(?:use\s+)?\(?\s*(\.\.?/?[^\s()]*)", 1)).filter("m <> ''")
+    pnpm = lines(_named(files, r"pnpm-workspace\.yaml")).withColumn("m", F.regexp_extract("value", r"^\s*-\s*['\"]?([^'\"!\s]+)", 1)).filter("m <> ''")
+    doc = _named(files, r"package\.json").filter(~F.contains("path", F.lit("/")))
+    npm = doc.select("project", F.posexplode(F.coalesce(F.from_json(F.get_json_object("content", "$.workspaces.packages"), "array<string>"), F.from_json(F.get_json_object("content", "$.workspaces"), "array<string>"))).alias("no", "m"))
+    kinds = [(0, go), (1, pnpm), (2, npm)]
+    rows = reduce(DataFrame.unionByName, [d.select("project", F.lit(k).alias("kind"), F.col("no").alias("rank"), F.regexp_replace("m", r"^\./|/+$", "").alias("pattern")) for k, d in kinds])
+    best = F.min("kind").over(Window.partitionBy("project"))
+    return rows.withColumn("best", best).filter("kind = best").select("project", "rank", "pattern")
+
+
+def members(files: DataFrame) -> DataFrame:
+    """Files of workspace members, each member a project of its own (project/folder), with its rank."""
+    m = workspace_members(files)
+    like = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.+()\[\]{}^$|?])", r"\\$1"), r"\*+", "[^/]+"), F.lit("/"))
+    hit = files.join(F.broadcast(m.withColumnRenamed("project", "w").withColumn("like", like)), (F.col("project") == F.col("w")) & F.expr("path RLIKE `like`"))
+    folder = F.expr("regexp_extract(path, concat('(', `like`, ')'), 1)")
+    return hit.select(F.concat("project", F.lit("/"), F.regexp_replace(folder, "/$", "")).alias("project"), F.expr("substring(path, length(regexp_extract(path, concat('(', `like`, ')'), 1)) + 1)").alias("path"), "content", "rank")

@@ -70,10 +70,17 @@ def test_commands(spark, tree):
     assert {r.signal for r in c.topology(tree).collect()} == {"direct", "deep_pct", "skew", "duplicates", "churn"}
     assert [r.reachable for r in c.reachability(tree).collect()] == [False]
     assert {r.module for r in c.graph(tree).collect()} == {"left"}
-    assert c.impact(tree, "left").isEmpty() or True
+    assert c.impact(tree, "left").isEmpty()
     health = spark.createDataFrame([], "module string, score int")
     assert '"name":"left"' in c.sbom(tree, health).first().value
     assert c.diff(tree.filter("path LIKE 'src%'"), tree.filter("path LIKE 'web%'")).count() == 2
+    schema = "seq int, module string, score int, level string"
+    past = spark.createDataFrame(c.record(tree, spark.createDataFrame([], schema)).select("seq", "module", "score", "level").collect(), schema)
+    assert [(r.seq, r.module, r.score) for r in past.collect()] == [(1, "left", 0)]
+    two = past.unionByName(past.withColumn("seq", F.lit(2)))
+    assert {r.module for r in c.trend(two, "left").collect()} == {"left"}
+    assert {r.change for r in c.changes(two).collect()} == {"unchanged"}
+    assert '"id":"left"' in c.viz(tree).first().value and c.viz(tree, "dot").count() == 3
     assert {r.change for r in c.upgrade(tree.limit(0), tree).collect()} == {"added"}
 
 

@@ -187,3 +187,32 @@ def test_catalog(spark):
 def test_commits(spark):
     rows = spark.createDataFrame([("c1|2024-03-01T00:00:00Z|go.sum",), ("c2|bad|x",)], "value string")
     assert [(r.commit, r.file) for r in files.commits(rows).collect()] == [("c1", "go.sum")]
+
+
+def test_features():
+    assert manifests.features("multi") == manifests.features("go") and not manifests.features("php")["functions"]
+    with pytest.raises(ValueError):
+        manifests.features("cobol")
+
+
+def test_yarn_and_pnpm_sources(spark):
+    rows = [
+        ("y", "yarn.lock", '# v1\n"@s/a@^1":\n  version "1"\n  resolved "https://r/a"\n\nb@file:x:\n  version "0"\n  resolved "file:../b"\nc@git:\n  resolved "git+ssh://c"\n'),
+        ("p", "pnpm-lock.yaml", "importers:\n  .:\n    dependencies:\n      a:\n        specifier: ^1\n      b:\n        specifier: file:../b\n      c:\n        specifier: 'gitlab:x/c'\npackages:\n  a@1: {}\n"),
+    ]
+    from plumbline.operators import engines
+
+    df = spark.createDataFrame(rows, "project string, path string, content string")
+    both = manifests.yarn_sources(df).unionByName(manifests.pnpm_sources(df))
+    got = {(r.project, r.package, r.type) for r in engines.npm_integrity(both).collect()}
+    assert got == {("y", "b", "path_dep"), ("y", "c", "git_dep"), ("p", "b", "path_dep"), ("p", "c", "git_dep")}
+
+
+def test_workspaces(spark):
+    rows = [
+        ("g", "go.work", "go 1.22\nuse (\n\t./a\n\t./b/c\n)\n"), ("g", "a/go.mod", "module a"), ("g", "b/c/go.mod", "module c"), ("g", "d/go.mod", "module d"),
+        ("n", "package.json", '{"workspaces":["packages/*"]}'), ("n", "packages/x/package.json", "{}"), ("n", "packages/x/deep/y.js", ""), ("n", "other/package.json", "{}"),
+        ("p", "pnpm-workspace.yaml", "packages:\n  - 'apps/*'\n"), ("p", "package.json", '{"workspaces":["no/*"]}'), ("p", "apps/z/package.json", "{}"),
+    ]
+    got = {(r.project, r.path) for r in manifests.members(spark.createDataFrame(rows, "project string, path string, content string")).collect()}
+    assert got == {("g/a", "go.mod"), ("g/b/c", "go.mod"), ("n/packages/x", "package.json"), ("n/packages/x", "deep/y.js"), ("p/apps/z", "package.json")}
