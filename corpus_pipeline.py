@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, neardup, pii, quality
+from plumbline.llm import decontaminate, mixing, neardup, pii, quality, tokens
 from plumbline.llm.common import Scratch
 
 
@@ -43,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents selected for the sources' token budgets."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, tokens.VOCABULARY)
 
 
 STAGES = [

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by fitting token budgets exactly.
 
-Tokens are words in the sense of ``textops``, or, with the path of a unigram
-vocabulary, the tokens that ``tokens`` counts (about eight times the CPU time).
+Tokens are those that ``tokens`` counts with the unigram vocabulary at ``path``; the
+query and the pipeline give that of operator 4. Without a path they are the words of
+``textops``. Each text is counted once.
 
 Documents are counted by source and exact token length. Each source gets a budget
 in proportion to its weight; a source with fewer tokens gives all it has and the
@@ -9,7 +10,8 @@ rest is shared among the others. Per source, the same share of every length is
 taken first; the budget that remains is fitted by bounded-knapsack dynamic
 programming over the lengths that are left. So many documents of each length are
 then selected in the order of a seeded hash: the cut of the hash is known for each
-source and length, so that texts are selected where they are, without a shuffle.
+source and length, so that texts are selected where they are, without a shuffle,
+from a copy that is written with their counts.
 
 Weights: a dict by source (a source that isn't in it gets none), or None for
 (tokens of the source) ** ``temper``. The whole budget is ``share`` of all tokens,
@@ -31,10 +33,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, pick, ship
 from .textops import buffers, text_chunks, words
-from .tokens import counter
+from .tokens import VOCABULARY, counter
 
 SHARE, TEMPER, SEED = 0.9, 0.7, 2024
 #: Tokens up to which the remaining budget goes to dynamic programming; larger remainders are first reduced by whole documents.
@@ -51,18 +54,26 @@ def token_lengths(batch: pa.RecordBatch, path: str | None) -> pa.Array:
     return pa.array([of.text(t) for t in batch.column("text").to_pylist()], pa.int64())
 
 
-def lengths(docs: DataFrame, path: str | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, source, its key, n_tokens and seeded hash of each row."""
+def _counted(docs: DataFrame, path: str | None, seed: int) -> DataFrame:
+    """The documents with their tokens and seeded hash, in __n_tokens and __h."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
-            n = token_lengths(batch, path)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n, batch.column("h")], ["doc_id", "source", "n_tokens", "h"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, token_lengths(batch, path).cast(pa.int64())], [*batch.schema.names, "__n_tokens"])
+
+    hashed = docs.withColumn("__h", F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"].cast("string")))
+    return hashed.mapInArrow(run, StructType([*hashed.schema, StructField("__n_tokens", LongType())]))
+
+
+def _lengths(counted: DataFrame) -> DataFrame:
+    return counted.select("doc_id", F.col("source").cast("string").alias("source"), F.col("__n_tokens").alias("n_tokens"), F.col("__h").alias("h")).withColumn("key", _key())
 
-    need = pick(docs, "doc_id", "text", "source").select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    need = need.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return need.mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, h long").withColumn("key", _key())
+
+def lengths(docs: DataFrame, path: str | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, source, its key, n_tokens and seeded hash of each row."""
+    need = pick(docs, "doc_id", "text", "source").withColumn("text", F.col("text").cast("string"))
+    return _lengths(_counted(need, path, seed))
 
 
 def _key():
@@ -179,29 +190,19 @@ def selected(lens: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, path: str | None = None, seed: int = SEED, broadcast_cuts: int = BROADCAST_CUTS, **how) -> DataFrame:
     """The documents, with all their columns, that are selected. Texts aren't shuffled while the cuts are few."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    lens = scratch.write(lengths(docs, path, seed), "lengths")
-    cut = scratch.write(cuts(lens, seed=seed, **how), "cuts")
+    counted = scratch.write(_counted(docs, path, seed), "counted")
+    lens = _lengths(counted)
+    cut = scratch.write(cuts(lens, seed=seed, **how), "cuts").select(F.col("key").alias("__key"), F.col("n_tokens").alias("__n"), F.col("cut").alias("__cut"))
     few = cut.count() <= broadcast_cuts
     if few:
-        table = {(r.key, r.n_tokens): r.cut for r in cut.collect()}
-        held = docs.sparkSession.sparkContext.broadcast(table)
-        hashed = docs.withColumn("__h", F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"].cast("string")))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cut_of = held.value
-            for batch in text_chunks(batches, "text"):
-                n = token_lengths(batch, path).to_pylist()
-                key = ["n" if s is None else f"s{s}" for s in batch.column("source").to_pylist()]
-                h = batch.column("__h").to_pylist()
-                keep = [(c := cut_of.get((k, m))) is not None and x <= c for k, m, x in zip(key, n, h, strict=True)]
-                yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__h"])
-
-        return hashed.mapInArrow(run, docs.schema)
-    chosen = lens.join(cut, ["key", "n_tokens"]).filter("h <= cut").select(F.col("h").alias("__c")).distinct()
-    return docs.join(chosen, F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"].cast("string")) == chosen["__c"], "left_semi")
+        hit = (_key() == cut["__key"]) & (counted["__n_tokens"] == cut["__n"]) & (counted["__h"] <= cut["__cut"])
+        return counted.join(F.broadcast(cut), hit, "left_semi").drop("__n_tokens", "__h")
+    chosen = lens.join(cut, (lens["key"] == cut["__key"]) & (lens["n_tokens"] == cut["__n"])).filter("h <= __cut")
+    chosen = chosen.select(F.col("h").alias("__c"), "__key").distinct()
+    return counted.join(chosen, (counted["__h"] == chosen["__c"]) & (_key() == chosen["__key"]), "left_semi").drop("__n_tokens", "__h")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Operator 3 over all documents."""
-    lens = Scratch(spark, "mixing").write(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")), "lengths")
+    lens = Scratch(spark, "mixing").write(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY), "lengths")
     return selected(lens)

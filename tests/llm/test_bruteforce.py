@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from helpers import documents, prose, words
 from plumbline.llm import decontaminate, langid, mixing, neardup, pii, quality, substring, tokens, warc
 
@@ -193,6 +194,24 @@ def test_mix_meets_its_budgets(spark, sf):
     assert few == many == {r.doc_id for r in rows}
 
 
+def test_query_and_pipeline_mix_by_tokens(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    of = tokens.counter(tokens.VOCABULARY)
+    n = {r.doc_id: of.text(r.text) for r in docs.select("doc_id", "text").collect()}
+    rows = mixing.query(spark, sf).collect()
+    assert rows and all(r.n_tokens == n[r.doc_id] for r in rows)
+    last = corpus_pipeline.source_mixing(spark, docs, sf)
+    assert "MapInArrow" not in last._jdf.queryExecution().toString()  # texts aren't counted again
+    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in rows}
+
+
+def test_mixing_keeps_sources_of_one_text_apart(spark):
+    text = prose(4, 20)
+    docs = documents(spark, [(1, text, "a", "en"), (1, text, "b", "en"), (2, text, None, "en")])
+    for limit in (10, 0):
+        assert [r.source for r in mixing.mixed(docs, weights={"a": 1}, share=1.0, broadcast_cuts=limit).collect()] == ["a"]
+
+
 @pytest.fixture(scope="module")
 def reference_tokenizer():
     from tokenizers import Tokenizer, models, pre_tokenizers
