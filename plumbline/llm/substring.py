@@ -10,13 +10,13 @@ row carries the hashes of its windows, and rows meet in one shuffle by the ancho
 hash. All 50-word windows at all positions that occur more than once are found, none
 else.
 
-Level k + 1 joins two windows of level k that follow each other, where both repeat, to
-one of twice the length and counts these, starting at anchors, until none repeats.
-What is left of each document is stitched to spans.
+Level k + 1 joins two windows of level k that follow each other to one of twice the
+length, at all positions, until none is left. These are counted like those of level 1, next to the
+anchor of their first 50 words. What is left of each document is stitched to spans.
 
 Result: (doc_id, start, end, words, longest, later). A span is a maximal run of words
 [start, end) covered by repeated 50-word windows; ``longest`` is the greatest length
-25 * 2^k at which an anchored window in it still repeats; ``later`` is the number of its words
+25 * 2^k at which a window in it still repeats; ``later`` is the number of its words
 covered by windows that occur earlier too (smaller doc_id, or further left in the same text): what
 deduplication would remove.
 
@@ -44,7 +44,8 @@ LENGTH = 2 * BASE
 #: Occurrences of an anchor up to which one task looks at all of them; those of more frequent
 #: anchors are counted window by window, which combines before the shuffle.
 HOT = 200_000
-LEVEL1 = "doc_id long, place int, at binary, later binary, window binary"
+LEVEL1 = "doc_id long, anchor long, place int, at binary, later binary, window binary"
+STITCHED = "doc_id long, start int, end int, later int, length int, meet long, windows binary"
 SPANS = "doc_id long, start int, end int, words int, longest int, later int"
 
 
@@ -99,7 +100,10 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             row, at, window = _windows(batch)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), batch.column("doc_id").take(take), batch.column("place").take(take), pa.array(at.astype(np.int32))], ["window", "doc_id", "place", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(window.view(np.int64)), *(batch.column(c).take(take) for c in ("doc_id", "anchor", "place")), pa.array(at.astype(np.int32))],
+                ["window", "doc_id", "anchor", "place", "at"],
+            )
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +112,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.ones(batch.num_rows, np.int64)
         at, later, window = (column_to_numpy(batch, c) for c in ("at", "later", "window"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("place"), binary_rows(at.astype(np.int32), one), binary_rows(later.astype(np.uint8), one), binary_rows(window.astype(np.int64), one)],
-            ["doc_id", "place", "at", "later", "window"],
+            [*(batch.column(c) for c in ("doc_id", "anchor", "place")), binary_rows(at.astype(np.int32), one), binary_rows(later.astype(np.uint8), one), binary_rows(window.astype(np.int64), one)],
+            ["doc_id", "anchor", "place", "at", "later", "window"],
         )
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows side by side by anchor: the windows that occur more than once, and which of them occur earlier too."""
     for table in whole_groups(batches, "anchor"):
-        doc, place, first = (column_to_numpy(table, c) for c in ("doc_id", "place", "first"))
+        doc, anchor, place, first = (column_to_numpy(table, c) for c in ("doc_id", "anchor", "place", "first"))
         row, at, window = _windows(table)
         order = np.lexsort((at, doc[row], window))
         win, d, p = window[order], doc[row][order], at[order]
@@ -138,26 +142,27 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[r[new]]),
+                pa.array(anchor[r[new]]),
                 pa.array(place[r[new]]),
                 binary_rows(at[order].astype(np.int32), size),
                 binary_rows(later.astype(np.uint8), size),
                 binary_rows(win, size),
             ],
-            ["doc_id", "place", "at", "later", "window"],
+            ["doc_id", "anchor", "place", "at", "later", "window"],
         )
 
 
 def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: its spans, and for each anchor the windows of 100, 200, ... words whose halves all repeat."""
+    """Per document: its spans, and next to each anchor all windows of 100, 200, ... words whose parts of 50 words all repeat."""
     for table in whole_groups(batches, "doc_id"):
         doc = column_to_numpy(table, "doc_id")
         at, n = rows_binary(table.column("at"), np.int32)
         later = rows_binary(table.column("later"), np.uint8)[0].astype(bool)
         win = rows_binary(table.column("window"), U)[0]
         d = np.repeat(doc, n)
-        place = np.repeat(column_to_numpy(table, "place"), n)
+        place, anchor = (np.repeat(column_to_numpy(table, c), n) for c in ("place", "anchor"))
         order = np.lexsort((at, d))
-        d, at, later, win, place = d[order], at[order].astype(np.int64), later[order], win[order], place[order]
+        d, at, later, win, place, anchor = d[order], at[order].astype(np.int64), later[order], win[order], place[order], anchor[order]
         cut = np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] > at[:-1] + LENGTH)])
         begin = np.flatnonzero(cut)
         span = np.cumsum(cut) - 1
@@ -175,43 +180,65 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = mix(d.view(U) if d.dtype == np.int64 else d.astype(U)) + at.astype(U)
         rank = np.argsort(key, kind="stable")
         sorted_key = key[rank]
-        levels: list[tuple[np.ndarray, int, np.ndarray]] = []
-        here, hashes, length = np.arange(len(at)), win, LENGTH
+        none = pa.nulls(len(begin), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(d[begin]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(reach.astype(np.int32)), none, none.cast(pa.int64()), none.cast(pa.string()).cast(pa.binary())],
+            ["doc_id", "start", "end", "later", "length", "meet", "windows"],
+        )
+        here, length = np.arange(len(at)), LENGTH
         value = win.copy()
         alive = np.ones(len(at), bool)
-        while len(here):
+        while True:
             with np.errstate(over="ignore"):
                 want = key[here] + U(length)
             j = np.minimum(np.searchsorted(sorted_key, want), len(key) - 1)
             follows = rank[j]
             ok = (sorted_key[j] == want) & (d[follows] == d[here]) & (at[follows] == at[here] + length) & alive[follows]
             here, follows = here[ok], follows[ok]
+            if not len(here):
+                break
             with np.errstate(over="ignore"):
                 hashes = mix(value[here] * U(0xD6E8FEB86659FD93) + value[follows] + U(length))
             length *= 2
             alive[:] = False
             alive[here] = True
             value[here] = hashes
-            anchored = np.flatnonzero(at[here] == place[here])
-            levels.append((here[anchored], length, hashes[anchored]))
-        none = pa.nulls(len(begin), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(d[begin]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(reach.astype(np.int32)), none, none.cast(pa.int32())],
-            ["doc_id", "start", "end", "later", "hash", "length"],
-        )
-        for here, length, hashes in levels:
-            if len(here):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[here]), pa.array(start[span[here]].astype(np.int32)), pa.nulls(len(here), pa.int32()), pa.nulls(len(here), pa.int32()), pa.array(hashes.view(np.int64)), pa.array(np.full(len(here), length, np.int32))],
-                    ["doc_id", "start", "end", "later", "hash", "length"],
-                )
+            new = np.flatnonzero(np.concatenate([[True], (d[here][1:] != d[here][:-1]) | (span[here][1:] != span[here][:-1]) | (place[here][1:] != place[here][:-1])]))
+            size, one = np.diff(np.append(new, len(here))), here[new]
+            none = pa.nulls(len(new), pa.int32())
+            with np.errstate(over="ignore"):
+                meet = mix(anchor[one].view(U) + U(length))  # a level's windows meet apart from the others
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(d[one]), pa.array(start[span[one]].astype(np.int32)), none, none, pa.array(np.full(len(new), length, np.int32)), pa.array(meet.view(np.int64)), binary_rows(hashes, size)],
+                ["doc_id", "start", "end", "later", "length", "meet", "windows"],
+            )
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows side by side by meeting place: those with a window that occurs more than once."""
+    for table in whole_groups(batches, "meet"):
+        win, n = rows_binary(table.column("windows"), U)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(win, kind="stable")
+        same = win[order][1:] == win[order][:-1]
+        hit = np.unique(row[order][np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+        if len(hit):
+            yield from table.select(["doc_id", "start", "length"]).take(pa.array(hit)).combine_chunks().to_batches()
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per longer window."""
+    for batch in batches:
+        win, n = rows_binary(batch.column("windows"), np.int64)
+        take = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays([pa.array(win), *(batch.column(c).take(take) for c in ("doc_id", "start", "length"))], ["window", "doc_id", "start", "length"])
 
 
 def _hot_windows(rows: DataFrame) -> DataFrame:
     """What ``_repeated`` finds, for anchors of which one task can't hold all occurrences."""
-    each = rows.mapInArrow(_spread, "window long, doc_id long, place int, at int").distinct()
+    each = rows.mapInArrow(_spread, "window long, doc_id long, anchor long, place int, at int").distinct()
     twice = each.groupBy("window").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "at")).alias("least")).filter("m > 1").select("window", "least")
-    hit = each.join(twice, "window").select("doc_id", "place", "at", (F.struct("doc_id", "at") != F.col("least")).alias("later"), "window")
+    hit = each.join(twice, "window").select("doc_id", "anchor", "place", "at", (F.struct("doc_id", "at") != F.col("least")).alias("later"), "window")
     return hit.mapInArrow(_packed, LEVEL1)
 
 
@@ -231,25 +258,21 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         cold = anchors.join(frequent, "anchor", "left_anti")
         found = clustered(cold, "anchor").mapInArrow(_repeated, LEVEL1).unionByName(_hot_windows(anchors.join(frequent, "anchor", "left_semi")))
     level1 = scratch.write(found, "windows")
-    found = scratch.write(clustered(level1, "doc_id").mapInArrow(_stitch, "doc_id long, start int, end int, later int, hash long, length int"), "stitched")
+    found = scratch.write(clustered(level1, "doc_id").mapInArrow(_stitch, STITCHED), "stitched")
     scratch.drop("windows")
-    spans = found.filter("hash IS NULL").select("doc_id", "start", "end", "later")
-    waiting = found.filter("hash IS NOT NULL").select("doc_id", F.col("start").alias("start"), "hash", "length")
-    longest, length = None, 2 * LENGTH
-    alive = waiting.filter(F.col("length") == length)
-    while True:  # a level's windows are looked at only in spans where the level before repeats
-        twice = alive.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1").select("hash")
-        kept = scratch.write(alive.join(twice, "hash").select("doc_id", "start", "length").distinct(), f"level_{length}")
-        if kept.isEmpty():
-            break
-        longest = kept if longest is None else longest.unionByName(kept)
-        length *= 2
-        alive = waiting.filter(F.col("length") == length).join(kept.select("doc_id", "start"), ["doc_id", "start"], "left_semi")
-    best = F.lit(LENGTH).cast("int")
-    if longest is not None:
-        top = longest.groupBy("doc_id", "start").agg(F.max("length").alias("top"))
-        spans = spans.join(top, ["doc_id", "start"], "left")
-        best = F.coalesce("top", best)
+    spans = found.filter("length IS NULL").select("doc_id", "start", "end", "later")
+    longer = found.filter("length IS NOT NULL").select("doc_id", "start", "length", "meet", "windows")
+    kind = "doc_id long, start int, length int"
+    crowds = scratch.write(longer.groupBy("meet").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("meet"), "crowds")
+    if crowds.isEmpty():
+        again = clustered(longer, "meet").mapInArrow(_again, kind)
+    else:
+        each = longer.join(crowds, "meet", "left_semi").mapInArrow(_each, f"window long, {kind}")
+        twice = each.groupBy("window").agg(F.count("*").alias("m")).filter("m > 1").select("window")
+        again = clustered(longer.join(crowds, "meet", "left_anti"), "meet").mapInArrow(_again, kind).unionByName(each.join(twice, "window").select("doc_id", "start", "length"))
+    top = again.groupBy("doc_id", "start").agg(F.max("length").alias("top"))
+    spans = spans.join(top, ["doc_id", "start"], "left")
+    best = F.coalesce("top", F.lit(LENGTH).cast("int"))
     return spans.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("words"), best.alias("longest"), "later")
 
 

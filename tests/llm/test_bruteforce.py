@@ -121,6 +121,31 @@ def test_substrings_repeated_within_a_text(spark):
     assert {(r.doc_id, r.start, r.end, r.later) for r in rows} == spans_by_brute_force({i: words(t) for i, t in text.items()})
 
 
+def longest_by_brute_force(text: dict, spans) -> dict:
+    out = {}
+    for i, start, end in spans:
+        length = 50
+        while True:
+            count = Counter(tuple(w[p : p + 2 * length]) for w in text.values() for p in range(len(w) - 2 * length + 1))
+            if not any(count[tuple(text[i][p : p + 2 * length])] > 1 for p in range(start, end - 2 * length + 1)):
+                break
+            length *= 2
+        out[i, start] = length
+    return out
+
+
+def test_longest_is_that_of_brute_force(spark):
+    rows = []
+    for k, n in enumerate([99, 100, 100, 100, 101, 105, 110, 120, 130, 199, 200, 200, 205, 220, 399, 400, 410]):
+        shared = prose(500 + k, n)
+        rows += [(2 * k + j, f"{prose(2000 + 2 * k + j, 20 + 7 * j)} {shared} {prose(4000 + 2 * k + j, 30)}", "s", "en") for j in (0, 1)]
+    text = {i: words(t) for i, t, *_ in rows}
+    for hot in (substring.HOT, 1):
+        got = substring.repeats(documents(spark, rows), hot=hot).collect()
+        assert {(r.doc_id, r.start): r.longest for r in got} == longest_by_brute_force(text, [(r.doc_id, r.start, r.end) for r in got])
+        assert {r.longest for r in got} == {50, 100, 200, 400}
+
+
 def shared_spans(a: list, b: list, least: int) -> set:
     out = set()
     for i in range(len(a)):
