@@ -73,7 +73,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id").take(pa.array(doc)),
                 pa.array((pick_[new] - base).astype(np.int32)),
                 pa.array((start[new] - base).astype(np.int32)),
-                binary_rows((whole >> U(32)).astype(np.uint32), n),
+                binary_rows(whole, n),
             ],
             ["anchor", "doc_id", "place", "first", "windows"],
         )
@@ -86,12 +86,10 @@ def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _windows(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and hash of all 50-word windows of anchor rows."""
-    anchor, place, first = (column_to_numpy(table, c) for c in ("anchor", "place", "first"))
-    part, n = rows_binary(table.column("windows"), np.uint32)
+    first = column_to_numpy(table, "first")
+    window, n = rows_binary(table.column("windows"), U)
     row = np.repeat(np.arange(len(n)), n)
-    at = first[row].astype(np.int64) + ranges(np.zeros(len(n), np.int64), n)
-    with np.errstate(over="ignore"):
-        return row, at, mix(mix(anchor.view(U)[row]) + (place[row] - at).astype(U) * U(0x9E3779B97F4A7C15) + (part.astype(U) << U(7)))
+    return row, first[row].astype(np.int64) + ranges(np.zeros(len(n), np.int64), n), window
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

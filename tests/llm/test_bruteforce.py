@@ -146,6 +146,18 @@ def test_longest_is_that_of_brute_force(spark):
         assert {r.longest for r in got} == {50, 100, 200, 400}
 
 
+def test_windows_are_told_apart_by_64_bits(monkeypatch):
+    import pyarrow as pa
+
+    shared = prose(1, 30)  # the same anchor in different surroundings
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([f"{prose(i, 40)} {shared} {prose(i + 9, 40)}" for i in (2, 3)])], ["doc_id", "text"])
+    whole = substring.span_hash
+    monkeypatch.setattr(substring, "span_hash", lambda h, n: whole(h, n) & np.uint64(0xFFFFFFFF) if n == substring.LENGTH else whole(h, n))
+    rows = pa.Table.from_batches(substring._anchors(iter([batch]))).sort_by("anchor").combine_chunks()
+    assert len(set(rows.column("anchor").to_pylist())) < rows.num_rows
+    assert not list(substring._repeated(iter(rows.to_batches())))
+
+
 def shared_spans(a: list, b: list, least: int) -> set:
     out = set()
     for i in range(len(a)):
