@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 For each language a raw-content dictionary is put together from bounded samples
-of labelled text. A text is compressed with every dictionary; the smallest result
-names the language. It is rejected (``und``) when the runner-up is within
+of labelled text. A text is compressed with every dictionary, in blocks of
+``BLOCK`` bytes that each start from the dictionary alone, so that what it saves
+grows with the text; the smallest sum names the language. It is rejected (``und``) when the runner-up is within
 ``margin`` of the best, relative to the best, or the text is too short to tell.
 
 Bound: dictionaries hold at most ``dictionary_bytes`` per language, taken from the
@@ -29,6 +30,8 @@ from .textops import text_chunks
 
 SAMPLE, DICTIONARY_BYTES, SEED = 150, 64 << 10, 5
 MARGIN, LEAST_BYTES, LEVEL = 0.01, 12, 3
+#: Bytes compressed at a time; shorter texts are one block.
+BLOCK = 16 << 10
 RESULT = "doc_id long, lang string, margin double, accepted boolean"
 UNKNOWN = "und"
 
@@ -62,7 +65,8 @@ class Classifier:
             self.use.append(z.ZstdCompressor(dict_data=held, level=level, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, text: bytes) -> list[int]:
-        return [len(c.compress(text)) for c in self.use]
+        blocks = [memoryview(text)[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.use]
 
     def classify(self, text: str | None, margin: float = MARGIN, least: int = LEAST_BYTES) -> tuple[str, float]:
         data = (text or "").encode("utf-8", "surrogatepass")

@@ -416,6 +416,21 @@ def test_languages_are_told_apart(spark):
     assert sum(r.got == r.lang for r in told) >= 0.95 * len(told)
 
 
+def test_very_long_texts_are_told_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text IS NOT NULL")
+    of = langid.Classifier(langid.dictionaries(docs.filter("doc_id % 2 = 1")))
+    text = defaultdict(list)
+    for r in docs.filter("doc_id % 2 = 0").select("lang", "text").orderBy("doc_id").collect():
+        text[r.lang].append(r.text)
+    assert len(text) > 2
+    for lang, parts in text.items():
+        whole = " ".join(parts)[:1_000_000]
+        assert len(whole) == 1_000_000
+        short, long_ = of.classify(whole[:30_000]), of.classify(whole)
+        assert short[0] == long_[0] == lang
+        assert long_[1] > 0.5 * short[1]
+
+
 def test_narrow_margins_are_rejected():
     c = langid.Classifier({"a": b"alpha beta gamma delta " * 40, "b": b"alpha beta gamma delta " * 40})
     assert c.classify("alpha beta gamma delta epsilon")[0] == "und"
