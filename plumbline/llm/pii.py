@@ -59,6 +59,8 @@ class _Characters(dict):
             out = ""
         elif c in _LOOKS:
             out = _LOOKS[c]
+        elif (digit := unicodedata.decimal(c, None)) is not None:
+            out = str(digit)
         elif code < 0x250:
             out = c
         else:
@@ -183,7 +185,7 @@ def _hashes(*of: str) -> np.ndarray:
 
 _AT, _DOT_WORDS, _TLDS, _NAMES, _SPELL = _hashes("at"), _hashes("dot", "punkt", "punto", "point"), _hashes(*_TLD[3:-1].split("|")), _hashes("key", "apikey", "accesskey", "secretkey", "secret", "token", "password", "passwd", "pwd"), _hashes(*_DIGITS)
 _ODD = np.zeros(256, bool)
-_ODD[[0xC2, 0xC4, 0xC9, *range(0xCD, 0xDA), *range(0xE1, 0xF5)]] = True  # lead bytes of what the character table changes
+_ODD[[0xC2, 0xC4, 0xC9, *range(0xCD, 0xF5)]] = True  # lead bytes of what the character table changes, digits of all scripts among them
 
 
 def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -341,6 +341,15 @@ def test_identifiers_are_found_where_they_are(value, kind):
         assert pii.mask(text, pii.find(text)) == f"{before}[{kind.upper()}]{after}"
 
 
+@pytest.mark.parametrize("zero", "۰०߀๐０𝟎")
+@pytest.mark.parametrize(("value", "kind"), [("(017) 555-7713", "phone"), ("4111 1111 1111 1111", "card"), ("123-45-6789", "ssn")])
+def test_digits_of_all_scripts_count(zero, value, kind):
+    text = "x " + "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in value) + " y"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert pii.suspects(raw, np.array([0, len(raw)]))[0]
+    assert pii.find(text) == [(kind, 2, len(text) - 2)]
+
+
 def test_clean_texts_hold_no_identifiers():
     for text in ["At one point the dot was at two places.", "Room 12, page 345 of 9000", "version 1.2.3.4.5", "4111 1111 1111 1112", "a token of thanks: yes", "look at that. And go", prose(2, 300)]:
         assert pii.find(text) == [], text
