@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs in this process alone."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share")
         at = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,11 +46,13 @@ class Scratch:
     """Intermediate tables of one run, written to the shared folder so that a lost executor costs nothing.
 
     Reading a written table also cuts the lineage. ``drop`` removes a table once
-    nothing reads it any more.
+    nothing reads it any more; the others go when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -120,21 +125,36 @@ def rows_binary(column: pa.Array | pa.ChunkedArray, dtype: np.dtype) -> tuple[np
     return np.frombuffer(raw.tobytes(), dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
 
-#: Ids up to which they are broadcast to be taken out; beyond that the rows are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """Rows whose doc_id isn't among ``ids`` (one column, doc_id). Rows without an id stay."""
-    ids = Scratch(docs.sparkSession, "ids").write(ids.select(F.col("doc_id").alias("__gone")), "ids")
-    few = ids.count() <= limit
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long") == ids["__gone"], "left_anti")
+def text_hash(df: DataFrame) -> Column:
+    """64-bit hash of a row's text, by which rows of one id are told apart; null texts and empty ones differ."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+#: Rows to look up (id and text hash, 16 bytes each) up to which they are broadcast; beyond that both sides are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def match_rows(docs: DataFrame, rows: DataFrame, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` joined with ``rows`` (doc_id, th) by id, null for null, and hash of the text; ``how`` is a semi or an anti join."""
+    rows = Scratch(docs.sparkSession, "rows").write(rows.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "rows")
+    few = rows.count() <= limit
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["__id"]) & (text_hash(docs) == rows["__th"])
+    return docs.join(F.broadcast(rows) if few else rows, same, how)
 
 
 def lowest(h: Column, wanted: int, of: Column) -> Column:
-    """Whether a 64-bit hash is among the lowest of its range: about twice what is wanted of so many rows.
+    """Whether a 64-bit hash is among the lowest of its range: about twice what is wanted of so many values.
 
     A filter before ordering by the hash and taking ``wanted``, so that only few rows
-    are ordered; the result is the same.
+    are ordered. ``of`` counts distinct values, not rows: then the result is that of
+    ordering all, however often values repeat.
     """
     return h.cast("double") <= -(2.0**63) + F.least(F.lit(1.0), (2.0 * wanted + 64.0) / F.greatest(of, F.lit(1))) * 2.0**64

@@ -10,7 +10,9 @@ result is exactly the set of maximal shared spans of ``min_words`` words or more
 Defined results: a null or empty text has no words and no hits; an item of fewer
 than ``min_words`` words can't be hit; repeated documents and items are each
 reported under their own id (rows of equal id and text give equal rows); a null
-id stays null; columns other than the id and the text are ignored.
+id stays null; columns other than the id and the text are ignored. What ``decontaminate``
+takes out is decided row by row, by the text: rows without an id, or that share one, as
+others.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_rows, pick, rows_binary, without_ids
+from .common import Scratch, binary_rows, match_rows, pick, rows_binary, ship, text_hash
 from .textops import U, Words, buffers, grams, ranges, text_chunks, winnow, words
 
 K, WINDOW = 8, 6
@@ -92,6 +95,22 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), binary_rows(w.hash, np.diff(w.first))], ["item_id", "words"])
 
 
+def _held(spark: SparkSession, benchmark: DataFrame, k: int, window: int, broadcast_words: int) -> tuple[DataFrame, Broadcast | None]:
+    """The words of each item, and the benchmark on every executor where it has at most ``broadcast_words``."""
+    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    item_words = Scratch(spark, "decontaminate").write(items.mapInArrow(_item_words, "item_id long, words binary"), "items")
+    size = item_words.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // 8
+    if size > broadcast_words:
+        return item_words, None
+    got = item_words.toArrow()
+    hashes, n = rows_binary(got.column("words"), U)
+    return item_words, spark.sparkContext.broadcast(Bench(got.column("item_id").to_pylist(), hashes, n, k, window))
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Maximal word spans that documents share with benchmark items (see the module).
 
@@ -101,17 +120,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
     """
     if min_words < k + window - 1:
         raise ValueError("spans shorter than k + window - 1 words can't be guaranteed")
-    spark = docs.sparkSession
-    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    scratch = Scratch(spark, "decontaminate")
-    item_words = scratch.write(items.mapInArrow(_item_words, "item_id long, words binary"), "items")
-    size = item_words.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // 8
-    if size > broadcast_words:
-        return _by_shuffle(docs, item_words, k, window, min_words)
-    got = item_words.toArrow()
-    hashes, n = rows_binary(got.column("words"), U)
-    bench = spark.sparkContext.broadcast(Bench(got.column("item_id").to_pylist(), hashes, n, k, window))
+    item_words, bench = _held(docs.sparkSession, benchmark, k, window, broadcast_words)
+    if bench is None:
+        return _by_shuffle(_narrow(docs), item_words, k, window, min_words).drop("th").dropDuplicates()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bench.value
@@ -122,11 +133,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
                 small = [pa.array(x.astype(np.int32)) for x in (d, b, n)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), ids.take(pa.array(item)), *small], ["doc_id", "item_id", "doc_start", "item_start", "n_words"])
 
-    return docs.mapInArrow(scan, HITS).dropDuplicates()
+    return _narrow(docs).mapInArrow(scan, HITS).dropDuplicates()
 
 
 def _by_shuffle(docs: DataFrame, item_words: DataFrame, k: int, window: int, least: int) -> DataFrame:
-    def marks(id_: str, from_words: bool):
+    """The hits, with the hash of the text (th) that has them."""
+    docs = docs.withColumn("th", text_hash(docs))
+
+    def marks(ids: list[str], from_words: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches if from_words else text_chunks(batches, "text"):
                 if from_words:
@@ -135,34 +149,48 @@ def _by_shuffle(docs: DataFrame, item_words: DataFrame, k: int, window: int, lea
                 else:
                     w = words(*buffers(batch.column("text")))
                 at, g = fingerprints(w, k, window)
-                row = np.searchsorted(w.first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column(id_).take(pa.array(row))], ["gram", id_])
+                row = pa.array(np.searchsorted(w.first, at, side="right") - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(batch.column(i).take(row) for i in ids)], ["gram", *ids])
 
         return run
 
-    left = docs.mapInArrow(marks("doc_id", False), "gram long, doc_id long")
-    right = item_words.mapInArrow(marks("item_id", True), "gram long, item_id long")
-    pairs = left.join(right.distinct(), "gram").select("doc_id", "item_id").distinct()
-    both = docs.join(pairs, docs.doc_id.eqNullSafe(pairs.doc_id)).select(docs.doc_id, "text", "item_id")
-    both = both.join(item_words, both.item_id.eqNullSafe(item_words.item_id)).select("doc_id", "text", both.item_id, "words")
+    left = docs.mapInArrow(marks(["doc_id", "th"], False), "gram long, doc_id long, th long")
+    right = item_words.mapInArrow(marks(["item_id"], True), "gram long, item_id long")
+    pairs = left.join(right.distinct(), "gram").select("doc_id", "th", "item_id").distinct()
+    both = docs.join(pairs, docs.doc_id.eqNullSafe(pairs.doc_id) & (docs.th == pairs.th)).select(docs.doc_id, docs.th, "text", "item_id")
+    both = both.join(item_words, both.item_id.eqNullSafe(item_words.item_id)).select("doc_id", "th", "text", both.item_id, "words")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
-            ids, items = batch.column("doc_id"), batch.column("item_id")
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 h, n = rows_binary(one.column("words"), U)
                 _, _, d, b, m = Bench([None], h, n, k, window).hits(words(*buffers(one.column("text"))), k, window, least)
                 if len(d):
                     zero = pa.array(np.zeros(len(d), np.int64))
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, 1).take(zero), items.slice(i, 1).take(zero), *(pa.array(x.astype(np.int32)) for x in (d, b, m))], ["doc_id", "item_id", "doc_start", "item_start", "n_words"])
+                    yield pa.RecordBatch.from_arrays([*(one.column(c).take(zero) for c in ("doc_id", "item_id")), *(pa.array(x.astype(np.int32)) for x in (d, b, m)), one.column("th").take(zero)], ["doc_id", "item_id", "doc_start", "item_start", "n_words", "th"])
 
-    return both.mapInArrow(grow, HITS).dropDuplicates()
+    return both.mapInArrow(grow, f"{HITS}, th long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """Documents, with all their columns, that share no span with the benchmark. Rows of a null id can't be named and are kept."""
-    return without_ids(docs, contaminated(docs, benchmark, **how).select("doc_id").distinct())
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """Documents, with all their columns, that share no span of ``min_words`` words or more with the benchmark."""
+    if min_words < k + window - 1:
+        raise ValueError("spans shorter than k + window - 1 words can't be guaranteed")
+    ship(docs.sparkSession)
+    item_words, bench = _held(docs.sparkSession, benchmark, k, window, broadcast_words)
+    if bench is None:
+        gone = _by_shuffle(_narrow(docs), item_words, k, window, min_words).select("doc_id", "th").distinct()
+        return match_rows(docs, gone, "left_anti")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text"):
+            doc = bench.value.hits(words(*buffers(batch.column("text"))), k, window, min_words)[0]
+            kept = np.ones(batch.num_rows, bool)
+            kept[doc] = False
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
