@@ -12,11 +12,14 @@ and beginnings of words: those whose documents were mostly labelled toxic, learn
 from the same labelled rows.
 
 Bound: the model is fitted on at most ``sample`` labelled documents (default
-10,000, those with the smallest seeded hash of their id); near copies among them
-count once. Everything is scored.
+10,000, those with the smallest seeded hash of their id, so that repeated rows change
+nothing; of rows of one id the text with the smallest hash is learnt from); near copies among them
+count once. Everything is scored. Of the sample only statistics, and the flagged words, come to the
+driver: words are counted by an aggregate.
 
 Defined results: a null or empty text, or one without words, scores 0 and is
-rejected; repeated rows and ties get the same score each; with no labelled rows,
+rejected; repeated rows and ties get the same score each; labels and texts without an id,
+and labels without quality and toxicity, aren't learnt from, of repeated labels the worst is; with no labelled rows,
 or labels of one kind only, every document that has words is accepted with score
 1; columns besides the id and the text are carried along untouched by
 ``accepted`` and ignored by ``scores``.
@@ -31,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, lowest, pick, rows_binary, ship
-from .textops import U, buffers, grams, mix, ranges, text_chunks, words
+from .common import Scratch, binary_rows, lowest, pick, rows_binary, ship
+from .textops import U, buffers, grams, mix, ranges, span_of, text_chunks, words
 
 SAMPLE, SEED, CUT = 10_000, 17, 0.5
 #: Minima of trigram hashes by which near copies among labelled rows are found.
@@ -197,7 +200,10 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per = np.diff(w.first)
         g, lo, hi = grams(w, 3)
         some = np.flatnonzero(hi > lo)
-        minima = mix(np.arange(len(x) * MINIMA, dtype=U)).reshape(-1, MINIMA)  # texts of one or two words are nobody's copies
+        minima = np.zeros((len(x), MINIMA), U)
+        short = np.flatnonzero((per > 0) & (hi <= lo))
+        for i in short.tolist():  # texts of one or two words are copies of equal ones
+            minima[i] = mix(np.array(seeds, U) ^ U(span_of(w.hash[w.first[i] : w.first[i + 1]])))
         if len(some):
             own = g[ranges(lo[some], hi[some])]
             cuts = np.concatenate([[0], np.cumsum((hi - lo)[some])[:-1]])
@@ -220,51 +226,79 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     toxic = F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (bad + 2 * toxic).alias("bad")).dropna()
+    ids = labelled.agg(F.approx_count_distinct("doc_id")).first()[0]
     chosen = (
-        labelled.filter(lowest(F.xxhash64("doc_id", F.lit(seed)), sample, F.lit(labelled.count())))
+        labelled.filter(lowest(F.xxhash64("doc_id", F.lit(seed)), sample, F.lit(ids)))
         .groupBy("doc_id")
         .agg(F.max("bad").alias("bad"))
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
         .limit(sample)
     )
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_profiles, "doc_id long, bad int, n_words long, x binary, keys binary, minima binary").toArrow()
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("least")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "bad").agg(one).select("doc_id", "bad", "least.text")
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.write(rows.mapInArrow(_profiles, "doc_id long, bad int, n_words long, x binary, keys binary, minima binary"), "profiles")
+    got = rows.filter("n_words > 0").select("doc_id", "bad", "n_words", "x", "minima").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return Model(np.zeros(0, U), None)
     x = rows_binary(got.column("x"), np.float64)[0].reshape(-1, len(FEATURES)).copy()
     minima = rows_binary(got.column("minima"), U)[0].reshape(-1, MINIMA)
-    hashes, n = rows_binary(got.column("keys"), U)
-    n_words = got.column("n_words").to_numpy()
-    kind = got.column("bad").to_numpy()
-    order = np.lexsort((minima[:, 0], got.column("doc_id").to_numpy()))
+    n_words, kind, doc = (got.column(c).to_numpy() for c in ("n_words", "bad", "doc_id"))
     seen: set = set()
     keep = []
-    for i in order:  # rows that agree in two neighbouring minima are near copies; the first stays
+    for i in range(len(x)):  # rows that agree in two neighbouring minima are near copies; the first stays
         marks = {(j, int(minima[i, j]), int(minima[i, j + 1])) for j in range(MINIMA - 1)}
-        if n[i] and not marks & seen:
+        if not marks & seen:
             keep.append(i)
         seen |= marks
     keep = np.array(keep, np.int64)
     y = (kind[keep] == 0).astype(float)
-    if not len(keep) or y.min() == y.max():
+    if y.min() == y.max():
         return Model(np.zeros(0, U), None)
-    first = np.concatenate([[0], np.cumsum(n)])
-    flagged = _flagged([hashes[first[i] : first[i + 1]] for i in keep], kind[keep] == 3)
-    for i in keep:
-        hit = np.isin(hashes[first[i] : first[i + 1]], flagged).sum() if len(flagged) else 0
-        x[i, FEATURES.index("flagged")], x[i, FEATURES.index("flagged_share")] = hit, hit / n_words[i]
+    flagged, hits = _flagged(rows, doc[keep], kind[keep] == 3)
+    x[keep, FEATURES.index("flagged")], x[keep, FEATURES.index("flagged_share")] = hits, hits / n_words[keep]
     monotone = np.array([MONOTONE.get(f, 0) for f in FEATURES])
     return Model(flagged, grow(x[keep], y, monotone))
 
 
-def _flagged(texts: list[np.ndarray], toxic: np.ndarray, share: float = 0.03, purity: float = 0.8) -> np.ndarray:
-    """Words in at least ``share`` of toxic documents (and 4) of which ``purity`` of all documents with it are toxic."""
+def _flagged(rows: DataFrame, doc: np.ndarray, toxic: np.ndarray, share: float = 0.03, purity: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
+    """Words in at least ``share`` of toxic documents (and 4) of which ``purity`` of all documents with it are toxic, and how many each document has."""
     if not toxic.any():
-        return np.zeros(0, U)
-    bad, n_bad = np.unique(np.concatenate([s for s, t in zip(texts, toxic, strict=True) if t]), return_counts=True)
-    every, n_all = np.unique(np.concatenate(texts), return_counts=True)
-    total = n_all[np.searchsorted(every, bad)]
-    return bad[(n_bad >= max(4, share * toxic.sum())) & (n_bad >= purity * total)]
+        return np.zeros(0, U), np.zeros(len(doc))
+    held = rows.sparkSession.sparkContext.broadcast((np.sort(doc), toxic[np.argsort(doc)]))
+
+    def kept(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, is_toxic = held.value
+        own = batch.column("doc_id").to_numpy()
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        key, n = rows_binary(batch.column("keys"), U)
+        row = np.repeat(np.arange(len(n)), n)
+        mine = (ids[at] == own)[row]
+        return own, row[mine], key[mine], is_toxic[at][row[mine]]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, key, bad = kept(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bad.astype(np.int64))], ["key", "toxic"])
+
+    need = max(4, share * toxic.sum())
+    counts = rows.mapInArrow(spread, "key long, toxic long").groupBy("key").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+    found = counts.filter((F.col("bad") >= need) & (F.col("bad") >= purity * F.col("all"))).select("key").toArrow()
+    flagged = np.sort(found.column("key").to_numpy().view(U))
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, row, key, _ = kept(batch)
+            many = np.bincount(row[np.isin(key, flagged)], minlength=len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(own[many > 0]), pa.array(many[many > 0])], ["doc_id", "hits"])
+
+    hits = np.zeros(len(doc))
+    if len(flagged):
+        got = rows.mapInArrow(hit, "doc_id long, hits long").toArrow()
+        order = np.argsort(doc)
+        hits[order[np.searchsorted(doc[order], got.column("doc_id").to_numpy())]] = got.column("hits").to_numpy()
+    return flagged, hits
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
