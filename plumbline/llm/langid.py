@@ -8,11 +8,12 @@ grows with the text; the smallest sum names the language. It is rejected (``und`
 
 Bound: dictionaries hold at most ``dictionary_bytes`` per language, taken from the
 ``sample`` labelled documents per language with the smallest seeded hash of their
-id, an even share of each.
+id, an even share of each: a passage from a seeded place anywhere in its text. An id counts
+once a language, whatever its rows: of different texts, the one with the smallest hash.
 
 Defined results: null and empty texts, and those of fewer than ``least_bytes``
 bytes, get ``und``; equal sizes have margin 0 and get ``und``; a label that is
-null isn't learnt from; without any dictionary all get ``und``; with one language
+null isn't learnt from, nor is a row without an id; without any dictionary all get ``und``; with one language
 only the margin is 1; every row gets a result; other columns are ignored.
 """
 
@@ -38,13 +39,16 @@ UNKNOWN = "und"
 
 def dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_BYTES, seed: int = SEED) -> dict[str, bytes]:
     """Raw dictionary content by language."""
-    rows = pick(labelled, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    rows = pick(labelled, "doc_id", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))  # one row a language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     share = max(1, size // max(1, sample))
     hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h")).join(F.broadcast(counts), "lang").filter(lowest(F.col("h"), sample, F.col("n")))
-    ids = hashed.withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id", "lang", "r")
-    got = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "r", F.substring("text", 1, share).alias("part")).collect()
+    ids = hashed.select("doc_id", "lang", "h").distinct().withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id", "lang", "r")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.length("text") - share + 1, F.lit(1))).cast("int")
+    part = F.struct(F.xxhash64("text").alias("h"), F.col("text").substr(place + 1, F.lit(share)).alias("part"))
+    got = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "r").agg(F.min(part).alias("least")).select("lang", "r", "least.part").collect()
     out: dict[str, list] = {}
     for row in sorted(got, key=lambda x: (x.lang, -x.r, x.part)):
         out.setdefault(row.lang, []).append(row.part.encode())
