@@ -43,7 +43,7 @@ _LOOKS = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ј": "J", "Ѕ": "S", "З": "3",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "κ": "k", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ε": "e", "η": "n",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ı": "i", "ɡ": "g", "ɑ": "a", "ℓ": "l", "٠": "0", "١": "1", "٢": "2", "٣": "3", "٤": "4", "٥": "5", "٦": "6", "٧": "7", "٨": "8", "٩": "9",
+    "ı": "i", "İ": "I", "ſ": "s", "ɡ": "g", "ɑ": "a", "ℓ": "l", "٠": "0", "١": "1", "٢": "2", "٣": "3", "٤": "4", "٥": "5", "٦": "6", "٧": "7", "٨": "8", "٩": "9",
     "\u2024": ".", "\u3002": ".", "\uff0e": ".", "\uff20": "@", "\ufe6b": "@", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-",
     "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ",
 }
@@ -76,7 +76,7 @@ _ONE = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SPELLED = re.compile(rf"\b{_ONE}(?:[ ,\-]{{1,3}}{_ONE})+\b", re.I)
 _WORD = re.compile(_ONE, re.I)
 _DOTS = r"(?:dot|punkt|punto|point)"
-_TLD = r"(?:com|net|org|edu|gov|info|io|biz|dev|app|example)"
+_TLD = r"(?:com|net|org|edu|gov|info|io|biz|dev|app|example|de|fr|es|uk|ch|nl|eu|pl|se|dk|fi|ru|pt|ca|au|jp|cn|br|cz|ie|nz|kr)"
 _OPEN, _CLOSE = r"\s*[(\[{<]\s*", r"\s*[)\]}>]\s*"
 _PHRASES = re.compile(
     rf"(?P<at>{_OPEN}at{_CLOSE})|(?P<dot>{_OPEN}{_DOTS}{_CLOSE})"
@@ -89,13 +89,13 @@ _AROUND_AT = re.compile(rf"(?:\b\w+(?:\s+{_DOTS}\s+\w+)+)?@[\w\-]+(?:(?:\.|\s+{_
 
 _V4 = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 DETECTORS: list[tuple[str, re.Pattern]] = [
-    ("secret", re.compile(r"\b(?:api[_\-]?key|access[_\-]?key|secret(?:[_\-]?key)?|token|password|passwd|pwd)\b\s*[:=]\s*[\"']?(?P<v>[^\s\"']{8,})", re.I)),
+    ("secret", re.compile(r"(?<![^\W_])(?:api[_\-]?key|access[_\-]?key|secret(?:[_\-]?key)?|token|password|passwd|pwd)(?![^\W_])[\"']?\s*[:=]\s*[\"']?(?P<v>[^\s\"']{8,})", re.I)),
     ("email", re.compile(r"(?<![\w.+\-%])[\w][\w.+\-%]*@(?:[\w\-]+\.)+[A-Za-z]{2,24}(?![\w])")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(rf"(?<![\d.]){_V4}(?:\.{_V4}){{3}}(?![\d]|\.\d)")),
     ("card", re.compile(r"(?<![\d])\d(?:[ \-]?\d){12,18}(?![\d])")),
     ("ssn", re.compile(r"(?<![\d\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3}[ .\-]\d{3,4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)|(?<![\w+.\-])\d{3}[ \-]?\d{3}[ \-]?\d{4}(?![\w\-])")),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3}[ .\-]\d{3,4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)|(?<![\w+.\-])(?:\+\d{1,3}[ .\-]?\d|0\d)(?:[ .\-]\d\d){4}(?![ .\-]?\d)|(?<![\w+])\+\d{1,3}[ .\-]\(?\d{1,5}\)?[ .\-]\d{4,9}(?![ .\-]?\d)|(?<![\w+.\-])\d{3}[ \-]?\d{3}[ \-]?\d{4}(?![\w\-])")),
 ]
 
 
@@ -185,34 +185,57 @@ def _hashes(*of: str) -> np.ndarray:
 
 _AT, _DOT_WORDS, _TLDS, _NAMES, _SPELL = _hashes("at"), _hashes("dot", "punkt", "punto", "point"), _hashes(*_TLD[3:-1].split("|")), _hashes("key", "apikey", "accesskey", "secretkey", "secret", "token", "password", "passwd", "pwd"), _hashes(*_DIGITS)
 _ODD = np.zeros(256, bool)
-_ODD[[0xC2, 0xC4, 0xC9, *range(0xCD, 0xF5)]] = True  # lead bytes of what the character table changes, digits of all scripts among them
+_ODD[[0xC2, 0xC4, *range(0xC9, 0xF5)]] = True  # lead bytes of what the character table changes, or of what isn't part of words
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+_OPENS, _CLOSES = _SPACE.copy(), _SPACE.copy()
+_OPENS[list(b"([{<")] = _CLOSES[list(b")]}>")] = True
+_BRACKET = _OPENS & ~_SPACE
 
 
 def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Documents that may hold an identifier; the others can't."""
+    """Documents that may hold an identifier; the others can't.
+
+    Where all bytes are ASCII or letters that the character table keeps, an address needs
+    an @ or the word "at" beside brackets, or with the word for a dot or an ending, a secret one of its names, an
+    account number two capitals before two digits, and all else four digits, spelled ones
+    counted.
+    """
     n = len(offsets) - 1
+    if not len(raw):
+        return np.zeros(n, bool)
     w: Words = words(raw, offsets)
     doc = w.doc()
 
     def per_doc(at: np.ndarray) -> np.ndarray:
         return np.bincount(np.searchsorted(offsets, at, side="right") - 1, minlength=n)[:n]
 
-    def with_word(of: np.ndarray) -> np.ndarray:
+    def with_word(of: np.ndarray, after: int | None = None) -> np.ndarray:
         hit = of[np.minimum(np.searchsorted(of, w.hash), len(of) - 1)] == w.hash
+        if after is not None:
+            hit &= (w.start > 0) & (raw[np.maximum(w.start - 1, 0)] == after)
         return np.bincount(doc[hit], minlength=n)
 
-    at = w.hash == _AT[0]
-    before = w.start[at] - 1
-    bracketed = np.isin(raw[np.maximum(before, 0)], np.frombuffer(b"([{< \t\n", np.uint8)) & (before >= 0)
-    inside = np.bincount(doc[at][bracketed & np.isin(raw[np.minimum(w.end[at], len(raw) - 1)], np.frombuffer(b")]}> \t\n", np.uint8))], minlength=n)
-    brackets = per_doc(np.flatnonzero((raw == 40) | (raw == 91) | (raw == 123) | (raw == 60)))
-    has_at = with_word(_AT) > 0
+    at = np.flatnonzero(w.hash == _AT[0])
+    before, after = w.start[at] - 1, w.end[at]
+    beside = _OPENS[raw[np.maximum(before, 0)]] & (before >= 0) & _CLOSES[raw[np.minimum(after, len(raw) - 1)]]
+    inside = np.bincount(doc[at][beside], minlength=n)
+    brackets = per_doc(np.flatnonzero(_BRACKET[raw])) if len(at) else inside
+    has_at = np.bincount(doc[at], minlength=n) > 0
+    digit = (raw >= 48) & (raw <= 57)
+    places = np.flatnonzero(digit)
+    capital = (raw >= 65) & (raw <= 90)
+    first = places[(places >= 2) & (places < len(raw) - 1)]
+    first = first[digit[first + 1] & capital[first - 1] & capital[first - 2]]
+    odd = np.flatnonzero(_ODD[raw])
+    latin = np.flatnonzero((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0xC5) & (raw[1:] == 0xBF))  # two signs, and the long s
     return (
         (per_doc(np.flatnonzero(raw == 64)) > 0)
-        | (per_doc(np.flatnonzero((raw >= 48) & (raw <= 57))) >= 4)
-        | (per_doc(np.flatnonzero(_ODD[raw])) > 0)
-        | (with_word(_SPELL) >= 4)
-        | (has_at & ((with_word(_DOT_WORDS) > 0) | (with_word(_TLDS) > 0)))
+        | (per_doc(places) + with_word(_SPELL) >= 4)
+        | (per_doc(first) > 0)
+        | (per_doc(odd) > 0)
+        | (per_doc(latin) > 0)
+        | (has_at & ((with_word(_DOT_WORDS) > 0) | (with_word(_TLDS, 46) > 0)))
         | ((inside > 0) & (brackets > 0))
         | (with_word(_NAMES) > 0)
     )
