@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import Scratch, pick
 
 #: Keys with their intervals up to which they are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -65,6 +65,7 @@ def intervals(events: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, events: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Whether each capture (page_id, url, fetched) is blocked, and by which lists."""
     by_key = intervals(events).groupBy("entry").agg(F.collect_list(F.struct("list", "from", "to")).alias("spans"))
+    by_key = Scratch(captures.sparkSession, "urls").write(by_key, "keys")
     if by_key.count() <= broadcast_keys:
         by_key = F.broadcast(by_key)
     need = pick(captures, "page_id", "url", "fetched").withColumn("fetched", F.col("fetched").cast("timestamp"))
