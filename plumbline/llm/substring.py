@@ -2,10 +2,12 @@
 
 Level 0 looks at windows of ``BASE`` = 25 words. Only anchors are counted: of every 26
 neighbouring windows the one with the smallest hash, so each passage of 50 words holds
-the anchors that the same passage has elsewhere. Anchors that occur once are dropped.
+the anchors that the same passage has elsewhere. Anchors that occur once are dropped
+before anything is carried: executors test anchors against a bitmap of the repeated
+ones, or, where these are too many for one, rows of bare anchors are joined with them.
 
 Level 1 extends the rest to 50 words: every 50-word window has one anchor (the
-smallest of its 26), so windows are counted next to their anchor: an anchor's
+smallest of its 26), so windows are counted next to their anchor: a repeated anchor's
 row carries the hashes of its windows, and rows meet in one shuffle by the anchor's
 hash. All 50-word windows at all positions that occur more than once are found, none
 else.
@@ -29,59 +31,117 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_rows, clustered, column_to_numpy, pick, rows_binary, whole_groups
-from .textops import U, buffers, mix, ranges, span_hash, text_chunks, winnow, words
+from .common import Scratch, binary_rows, clustered, column_to_numpy, pick, rows_binary, text_hash, whole_groups
+from .textops import U, Words, buffers, mix, ranges, span_hash, text_chunks, winnow, words
 
 BASE = 25
 LENGTH = 2 * BASE
 #: Occurrences of an anchor up to which one task looks at all of them; those of more frequent
 #: anchors are counted window by window, which combines before the shuffle.
 HOT = 200_000
+#: Repeated anchors (2 to 4 bytes each in the bitmap) up to which they are sent to every executor.
+FILTER_ANCHORS = 1 << 25
+_CHUNK = 19  # bits of a place in a piece of the bitmap
+ANCHORS = "anchor long, doc_id long, place int, first int, windows binary"
 LEVEL1 = "doc_id long, anchor long, place int, at binary, later binary, window binary"
 STITCHED = "doc_id long, start int, end int, later int, length int, meet long, windows binary"
 SPANS = "doc_id long, start int, end int, words int, longest int, later int"
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per anchor: its hash, document and place, the first window it belongs to, and the hashes of these windows."""
+def _anchored(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors: hash, document, place, first window, and how many windows each has; places count from the first document."""
+    g = span_hash(w.hash, BASE)
+    lo, hi = w.first[:-1], w.first[1:] - BASE + 1
+    long_ = w.first[1:] - lo >= LENGTH
+    start, at = winnow(g, lo[long_], hi[long_], LENGTH - BASE + 1)
+    if not len(start):
+        return np.zeros(0, U), start, start, start, start
+    order = np.argsort(start, kind="stable")
+    start, at = start[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
+    n = np.diff(np.append(new, len(start)))
+    return g[at[new]], np.searchsorted(w.first, start[new], side="right") - 1, at[new], start[new], n
+
+
+def _anchors(keep: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray]):
+    """A row per kept anchor: its hash, document and place, the first window it belongs to, and the hashes of these windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text"):
+            w = words(*buffers(batch.column("text")))
+            anchor, doc, place, first, n = _anchored(w)
+            kept = keep(batch, anchor, doc)
+            anchor, doc, place, first, n = (x[kept] for x in (anchor, doc, place, first, n))
+            if not len(anchor):
+                continue
+            base = w.first[doc]
+            whole = span_hash(w.hash, LENGTH)[ranges(first, first + n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array((place - base).astype(np.int32)), pa.array((first - base).astype(np.int32)), binary_rows(whole, n)],
+                ["anchor", "doc_id", "place", "first", "windows"],
+            )
+
+    return run
+
+
+def _bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors alone, with whatever columns there are besides the text."""
     for batch in text_chunks(batches, "text"):
-        w = words(*buffers(batch.column("text")))
-        g = span_hash(w.hash, BASE)
-        lo, hi = w.first[:-1], w.first[1:] - BASE + 1
-        long_ = w.first[1:] - lo >= LENGTH
-        lo, hi = lo[long_], hi[long_]
-        if not len(lo):
-            continue
-        start, pick_ = winnow(g, lo, hi, LENGTH - BASE + 1)
-        order = np.argsort(start, kind="stable")
-        start, pick_ = start[order], pick_[order]
-        whole = span_hash(w.hash, LENGTH)[start]
-        new = np.flatnonzero(np.concatenate([[True], (pick_[1:] != pick_[:-1]) | (start[1:] != start[:-1] + 1)]))
-        n = np.diff(np.append(new, len(start)))
-        doc = np.searchsorted(w.first, start[new], side="right") - 1
-        base = w.first[doc]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(g[pick_[new]].view(np.int64)),
-                batch.column("doc_id").take(pa.array(doc)),
-                pa.array((pick_[new] - base).astype(np.int32)),
-                pa.array((start[new] - base).astype(np.int32)),
-                binary_rows(whole, n),
-            ],
-            ["anchor", "doc_id", "place", "first", "windows"],
-        )
+        anchor, doc, *_ = _anchored(words(*buffers(batch.column("text"))))
+        other = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *(batch.column(c).take(pa.array(doc)) for c in other)], ["anchor", *other])
+
+
+def _bitmap(twice: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """One bit for the first so many bits of each anchor: 16 places or more for one that is set."""
+    bits = max(_CHUNK, int(np.ceil(np.log2(16 * max(1, n)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "chunk"):
+            chunk = column_to_numpy(table, "chunk")
+            at = (column_to_numpy(table, "anchor").view(U) >> U(64 - bits)).astype(np.int64)
+            for c in np.unique(chunk):
+                own = np.zeros(1 << _CHUNK, bool)
+                own[at[chunk == c] & ((1 << _CHUNK) - 1)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
+
+    chunk = F.lit(0).cast("long") if bits == _CHUNK else F.shiftrightunsigned("anchor", 64 - bits + _CHUNK)
+    got = clustered(twice.select("anchor", chunk.alias("chunk")), "chunk").mapInArrow(run, "chunk long, bits binary").toArrow()
+    out = np.zeros((1 << (bits - _CHUNK), 1 << (_CHUNK - 3)), np.uint8)
+    for c, b in zip(got.column("chunk").to_pylist(), got.column("bits"), strict=True):
+        out[c] = np.frombuffer(b.as_buffer(), np.uint8)
+    return out.ravel(), bits
+
+
+def _repeated_anchors(docs: DataFrame, twice: DataFrame, filter_anchors: int) -> DataFrame:
+    """Rows of ``_anchors`` for the anchors of ``twice``, and perhaps some others."""
+    n = twice.count()
+    if n <= filter_anchors:
+        held = docs.sparkSession.sparkContext.broadcast(_bitmap(twice, n))
+
+        def keep(batch: pa.RecordBatch, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+            bitmap, bits = held.value
+            at = anchor >> U(64 - bits)
+            return (bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+
+        return docs.mapInArrow(_anchors(keep), ANCHORS)
+    docs = docs.withColumn("th", text_hash(docs))
+    wanted = docs.mapInArrow(_bare, "anchor long, doc_id long, th long").join(twice, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("wanted"))
 
+    def listed(batch: pa.RecordBatch, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        lists = batch.column("wanted")
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        salt = lambda h, r: h ^ mix(r.astype(U) + U(1))
+        return np.isin(salt(anchor, doc), salt(lists.flatten().to_numpy().view(U), row))
 
-def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _anchors(batches):
-        yield batch.select(["anchor"])
+    return docs.join(wanted, ["doc_id", "th"]).mapInArrow(_anchors(listed), ANCHORS)
 
 
 def _windows(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,7 +300,7 @@ def _hot_windows(rows: DataFrame) -> DataFrame:
     return hit.mapInArrow(_packed, LEVEL1)
 
 
-def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, hot: int = HOT, filter_anchors: int = FILTER_ANCHORS) -> DataFrame:
     """Maximal repeated spans of each document (see the module).
 
     Anchors are counted first, in a pass of its own. Those that occur more than ``hot``
@@ -248,8 +308,9 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "substring")
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    frequent = scratch.write(docs.mapInArrow(_anchor_hashes, "anchor long").groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("anchor"), "hot")
-    anchors = docs.mapInArrow(_anchors, "anchor long, doc_id long, place int, first int, windows binary")
+    twice = scratch.write(docs.select("text").mapInArrow(_bare, "anchor long").groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "twice")
+    anchors = _repeated_anchors(docs, twice.select("anchor"), filter_anchors)
+    frequent = scratch.write(twice.filter(F.col("m") > hot).select("anchor"), "hot")
     if frequent.isEmpty():
         found = clustered(anchors, "anchor").mapInArrow(_repeated, LEVEL1)
     else:  # there are at most (anchors / hot) of them
@@ -258,6 +319,7 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     level1 = scratch.write(found, "windows")
     found = scratch.write(clustered(level1, "doc_id").mapInArrow(_stitch, STITCHED), "stitched")
     scratch.drop("windows")
+    scratch.drop("twice")
     spans = found.filter("length IS NULL").select("doc_id", "start", "end", "later")
     longer = found.filter("length IS NOT NULL").select("doc_id", "start", "length", "meet", "windows")
     kind = "doc_id long, start int, length int"
