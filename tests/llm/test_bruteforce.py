@@ -112,6 +112,7 @@ def test_substrings_are_those_of_brute_force(spark):
     assert all(r.words == r.end - r.start >= 50 for r in rows) and all(50 <= r.longest <= r.words for r in rows)
     assert any(r.longest >= 100 for r in rows)
     assert {tuple(r) for r in substring.repeats(docs, hot=1).collect()} == {tuple(r) for r in rows}
+    assert {tuple(r) for r in substring.repeats(docs, filter_anchors=0).collect()} == {tuple(r) for r in rows}
 
 
 def test_substrings_repeated_within_a_text(spark):
@@ -153,7 +154,7 @@ def test_windows_are_told_apart_by_64_bits(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([f"{prose(i, 40)} {shared} {prose(i + 9, 40)}" for i in (2, 3)])], ["doc_id", "text"])
     whole = substring.span_hash
     monkeypatch.setattr(substring, "span_hash", lambda h, n: whole(h, n) & np.uint64(0xFFFFFFFF) if n == substring.LENGTH else whole(h, n))
-    rows = pa.Table.from_batches(substring._anchors(iter([batch]))).sort_by("anchor").combine_chunks()
+    rows = pa.Table.from_batches(substring._anchors(lambda _, anchor, __: np.ones(len(anchor), bool))(iter([batch]))).sort_by("anchor").combine_chunks()
     assert len(set(rows.column("anchor").to_pylist())) < rows.num_rows
     assert not list(substring._repeated(iter(rows.to_batches())))
 
@@ -292,8 +293,8 @@ def test_token_cache_changes_nothing(monkeypatch):
 
 def test_warc_round_trip(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    warc.write(pages, str(tmp_path / "a"), roll_bytes=9_000, shard_records=20)
-    warc.write(pages.repartition(7), str(tmp_path / "b"), roll_bytes=9_000, shard_records=20)
+    warc.write(pages, str(tmp_path / "a"), roll_bytes=9_000, shard_bytes=20_000)
+    warc.write(pages.repartition(7), str(tmp_path / "b"), roll_bytes=9_000, shard_bytes=20_000)
     files = [f["file"] for f in json.loads((tmp_path / "a" / "MANIFEST.json").read_text())["files"]]
     assert len(files) > 4 and (tmp_path / "a" / "MANIFEST.json").read_text() == (tmp_path / "b" / "MANIFEST.json").read_text()
     back, uris = [], []
