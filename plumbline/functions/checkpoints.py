@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder that all executors share.
 
-    That folder is spark.checkpoint.dir; where it is unset (tests), one of our own.
+    That folder is spark.checkpoint.dir; where it is unset and Spark runs in this
+    process alone, one of our own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint(eager=True)

@@ -67,5 +67,5 @@ def module_max(sets: DataFrame, packages: DataFrame) -> DataFrame:
 def module_argmax(sets: DataFrame, packages: DataFrame) -> DataFrame:
     """The package with the largest score of each module; of equals the smallest name."""
     inside = packages.filter(F.col("module").isNotNull() & ~F.col("is_main")).join(sets, "package")
-    best = F.max(F.struct("score", (-F.col("package")).alias("neg")))
-    return inside.groupBy("module").agg(best.alias("b")).select("module", (-F.col("b.neg")).alias("package"), F.col("b.score").alias("score"))
+    best = F.min_by(F.struct("package", "score"), F.struct((-F.col("score")).alias("first"), "package"))
+    return inside.groupBy("module").agg(best.alias("b")).select("module", "b.package", "b.score")

@@ -115,23 +115,30 @@ def _confidence(kind: int) -> Column:
     return out
 
 
-def match_calls(lines: DataFrame, catalog: DataFrame) -> DataFrame:
+def _few(catalog: DataFrame, limit: int):
+    """broadcast where the catalog has at most ``limit`` rows; beyond that nothing, and joins shuffle."""
+    return F.broadcast if catalog.count() <= limit else lambda df: df
+
+
+def match_calls(lines: DataFrame, catalog: DataFrame, limit: int = BROADCAST_CATALOG) -> DataFrame:
     """Evidence of call sites: catalog keys that a line contains.
 
-    There is no key to join containment by. Lines are first kept or dropped by one
-    alternation per language; what is left meets the catalog's literal keys, an
-    array per language.
+    There is no key to join containment by: lines meet a language's keys as one array.
+    Beyond ``limit`` rows of catalog, they meet only the keys that begin with three
+    characters that the line has somewhere, by a shuffle.
     """
-    calls = catalog.filter("kind = 'call'")
-    per = {r.lang: r for r in calls.groupBy("lang").agg(F.array_sort(F.collect_set(F.struct("key", "capability"))).alias("pairs")).toLocalIterator()}
-    maybe, pairs = F.lit(False), F.lit(None).cast("array<struct<key:string,capability:string>>")
-    for lang, r in per.items():
-        keys = sorted({p.key for p in r.pairs})
-        maybe = maybe | ((F.col("lang") == lang) & F.col("value").rlike("|".join(re.escape(k) for k in keys)))
-        array = F.array(*[F.struct(F.lit(p.key).alias("key"), F.lit(p.capability).alias("capability")) for p in r.pairs])
-        pairs = F.when(F.col("lang") == lang, array).otherwise(pairs)
-    hits = lines.filter(maybe).withColumn("hit", F.explode(F.filter(pairs, lambda p: F.contains(F.col("value"), p["key"]))))
-    return hits.select("lang", "project", "path", "line", F.col("hit.key").alias("key"), F.col("hit.capability").alias("capability"), F.lit("callSite").alias("via"), _confidence(1).alias("confidence"))
+    calls = catalog.filter("kind = 'call'").select("lang", "key", "capability").distinct()
+    if catalog.count() <= limit:
+        pairs = calls.groupBy("lang").agg(F.array_sort(F.collect_set(F.struct("key", "capability"))).alias("pairs"))
+        hits = lines.join(F.broadcast(pairs), "lang").withColumn("hit", F.explode(F.filter("pairs", lambda p: F.contains(F.col("value"), p["key"])))).select("*", "hit.key", "hit.capability")
+    else:
+        begin = lambda c, at: F.substring(c, at, 3) if isinstance(at, int) else c.substr(at, F.lit(3))
+        keys = calls.withColumn("g", begin(F.col("key"), 1))
+        short = keys.filter(F.length("key") < 3).select("lang", "key", "capability")
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - 2, F.lit(1))), lambda i: begin(F.col("value"), i)))
+        some = lines.withColumn("g", F.explode(grams)).join(keys.filter(F.length("key") >= 3), ["lang", "g"]).drop("g")
+        hits = some.unionByName(lines.join(short, "lang")).filter(F.contains("value", F.col("key")))
+    return hits.select("lang", "project", "path", "line", "key", "capability", F.lit("callSite").alias("via"), _confidence(1).alias("confidence"))
 
 
 # ---- JavaScript bindings ---------------------------------------------------------
@@ -158,10 +165,10 @@ def bindings(lines: DataFrame) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def bound_calls(lines: DataFrame, bound: DataFrame, catalog: DataFrame) -> DataFrame:
+def bound_calls(lines: DataFrame, bound: DataFrame, catalog: DataFrame, limit: int = BROADCAST_CATALOG) -> DataFrame:
     """Evidence of calls through bindings: x.f() and chained requires 0.80, destructured f() 0.85."""
     js = lines.filter("lang = 'node'")
-    caps = F.broadcast(catalog.filter("lang = 'node' AND kind = 'import'").select(F.regexp_replace("key", "^node:", "").alias("module"), "capability"))
+    caps = _few(catalog, limit)(catalog.filter("lang = 'node' AND kind = 'import'").select(F.regexp_replace("key", "^node:", "").alias("module"), "capability"))
     calls = js.select("project", "path", "line", F.explode(F.regexp_extract_all("value", F.lit(r"(?:^|[^\w$.])([\w$]+(?:\.[\w$]+)?)\s*\("), 1)).alias("call"))
     calls = calls.select("project", "path", "line", "call", F.substring_index("call", ".", 1).alias("local"), F.contains("call", F.lit(".")).alias("dotted"))
     b = bound.select("project", "path", "local", F.regexp_replace("module", "^node:", "").alias("module"), "export")
@@ -172,7 +179,7 @@ def bound_calls(lines: DataFrame, bound: DataFrame, catalog: DataFrame) -> DataF
     return via.unionByName(chained).select(F.lit("node").alias("lang"), "project", "path", "line", "key", "capability", F.lit("callSite").alias("via"), "confidence")
 
 
-def go_calls(lines: DataFrame, catalog: DataFrame) -> DataFrame:
+def go_calls(lines: DataFrame, catalog: DataFrame, limit: int = BROADCAST_CATALOG) -> DataFrame:
     """Evidence of go calls ``alias.Func(``, the alias resolved by the file's imports."""
     go = lines.filter("lang = 'go'")
     p = r'^\s*(?:import\s+)?(?:([\w.]+)\s+)?"([^"]+)"\s*$'
@@ -182,7 +189,7 @@ def go_calls(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     calls = go.select("project", "path", "line", F.explode(F.regexp_extract_all("value", F.lit(r"\b(\w+\.[A-Z]\w*)"), 1)).alias("call"))
     calls = calls.select("project", "path", "line", F.substring_index("call", ".", 1).alias("alias"), F.substring_index("call", ".", -1).alias("fn"))
     hit = calls.join(named, ["project", "path", "alias"]).withColumn("key", F.concat_ws(".", "base", "fn"))
-    keys = F.broadcast(catalog.filter("lang = 'go' AND kind = 'call'").select("key", "capability"))
+    keys = _few(catalog, limit)(catalog.filter("lang = 'go' AND kind = 'call'").select("key", "capability"))
     return hit.join(keys, "key").select(F.lit("go").alias("lang"), "project", "path", "line", "key", "capability", F.lit("callSite").alias("via"), F.lit(0.75).alias("confidence"))
 
 
@@ -342,20 +349,36 @@ def functions(files: DataFrame, catalog: DataFrame, drop_header_self_calls: bool
     return files.select("lang", "project", "path", "content").mapInPandas(run, FUNCTIONS)
 
 
-def ir(funcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """functions, calls and direct capabilities for ``interproc``: a callee is a function of the same package (folder)."""
-    package = F.concat_ws("/", "project", F.regexp_replace("path", r"/?[^/]*$", ""))
-    f = funcs.withColumn("package", package).withColumn("fn", F.concat_ws(".", "package", "name"))
+def folder(project: str = "project", path: str = "path") -> Column:
+    """A project's folder of a file, as a package name."""
+    return F.concat_ws("/", project, F.nullif(F.regexp_replace(path, r"/?[^/]*$", ""), F.lit("")))
+
+
+def ir(funcs: DataFrame, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """functions, calls and direct capabilities for ``interproc``: a callee is a function of the same package.
+
+    A package is the column of this name, else the folder. Of several functions of a name in a
+    package the last counts for capabilities; calls of all do. Calls that are resolved
+    through bindings (``found``, evidence of node files) count with their own confidence, the
+    names of catalog keys in a body with 0.75.
+    """
+    f = funcs if "package" in funcs.columns else funcs.withColumn("package", folder())
+    f = f.withColumn("fn", F.concat_ws(".", "package", "name"))
     known = f.select("fn", "package", "name").distinct()
     calls = f.select("package", F.col("fn").alias("caller"), F.explode("calls").alias("name")).join(known.select("package", "name", F.col("fn").alias("callee")), ["package", "name"]).select("caller", "callee")
-    direct = f.select("fn", F.explode("caps").alias("capability")).distinct().withColumn("confidence", F.lit(0.75))
-    return known, calls, direct
+    last = f.groupBy("fn").agg(F.max_by(F.struct("project", "path", "first", "last", "caps"), F.struct("path", "first")).alias("l")).select("fn", "l.*")
+    direct = last.select("fn", F.explode("caps").alias("capability"), F.lit(0.75).alias("confidence"))
+    if found is not None:
+        inside = last.join(found.select("project", "path", "line", F.col("capability"), "confidence"), ["project", "path"]).filter("line BETWEEN first AND last")
+        direct = direct.unionByName(inside.select("fn", "capability", "confidence"))
+    return known, calls, direct.groupBy("fn", "capability").agg(F.max("confidence").alias("confidence"))
 
 
 def reachable(found: DataFrame, packages: DataFrame) -> DataFrame:
     """project, package, reachable: packages that a project's imports reach over dependency edges.
 
     ``found`` are imports (project, module), ``packages`` (project, name, dependencies).
+    ``risky`` adds what packages can do.
     """
     from . import graph
 
@@ -367,6 +390,18 @@ def reachable(found: DataFrame, packages: DataFrame) -> DataFrame:
     return own.join(reached, "node", "left").select("project", "package", F.coalesce("reachable", F.lit(False)).alias("reachable"))
 
 
+def risky(reached: DataFrame, sets: DataFrame, least: str = "low") -> DataFrame:
+    """project, package, reachable, caps, score, level: of packages with capabilities (project, package, caps, score) at least of a level."""
+    rows = reached.join(sets, ["project", "package"]).withColumn("level", S.risk_level(F.col("score")))
+    return rows.filter((F.size("caps") > 0) & S.meets(F.col("level"), least)).select("project", "package", "reachable", "caps", "score", "level")
+
+
+def by_package(functions: DataFrame, reached: DataFrame) -> DataFrame:
+    """package, reachable: whether any function (node, package) of it is among the reached nodes (node)."""
+    hit = functions.join(reached.select("node").distinct().withColumn("r", F.lit(True)), "node", "left")
+    return hit.groupBy("package").agg(F.coalesce(F.bool_or("r"), F.lit(False)).alias("reachable"))
+
+
 def loc(files: DataFrame) -> DataFrame:
     """project, path, loc: lines that aren't blank."""
     return files.select("project", "path", F.size(F.filter(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.trim(x) != "")).alias("loc"))

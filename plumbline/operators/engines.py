@@ -12,8 +12,17 @@ from ..model import RISKY_LICENSES
 def topology_metrics(depths: DataFrame, direct: DataFrame, versions: DataFrame, churn: int = -1) -> DataFrame:
     """One row: direct, total, max_depth, deep_pct (depth 4 or more), skew, duplicates, churn.
 
-    ``depths`` (package, depth), ``direct`` (package), ``versions`` (base, version).
+    ``depths`` (package, depth), ``direct`` (package), ``versions`` (base, version). Where all three have a
+    project, it is a row per project.
     """
+    if all("project" in t.columns for t in (depths, direct, versions)):
+        some = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        d = depths.groupBy("project").agg(F.count("*").alias("total"), F.max("depth").alias("max_depth"), F.avg(F.when(F.col("depth") >= 4, 100.0).otherwise(0.0)).alias("deep_pct"))
+        per = versions.groupBy("project", "base").agg(F.count_distinct("version").alias("n"))
+        v = per.groupBy("project").agg(F.count_if(F.col("n") > 1).alias("duplicates"), F.max("n").alias("skew"))
+        n = direct.groupBy("project").agg(F.count_distinct("package").alias("direct"))
+        out = n.join(d, "project", "full_outer").join(v, "project", "full_outer")
+        return out.select("project", *[some(F.col(c)).alias(c) for c in ("direct", "total", "max_depth")], F.coalesce("deep_pct", F.lit(0.0)).alias("deep_pct"), *[some(F.col(c)).alias(c) for c in ("skew", "duplicates")], F.lit(churn).cast("long").alias("churn"))
     d = depths.agg(F.count("*").alias("total"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"), F.coalesce(F.avg(F.when(F.col("depth") >= 4, 100.0).otherwise(0.0)), F.lit(0.0)).alias("deep_pct"))
     per = versions.groupBy("base").agg(F.count_distinct("version").alias("n"))
     v = per.agg(F.count_if(F.col("n") > 1).alias("duplicates"), F.coalesce(F.max("n"), F.lit(0)).alias("skew"))
@@ -21,7 +30,7 @@ def topology_metrics(depths: DataFrame, direct: DataFrame, versions: DataFrame,
 
 
 def topology_signals(metrics: DataFrame) -> DataFrame:
-    """signal, value, points: five rows."""
+    """signal, value, points: five rows, of each project where there is one."""
     c = lambda n: F.col(n).cast("double")
     banded = {
         "direct": S.banded(F.col("direct"), (">", 100, 8), (">=", 50, 5), (">=", 20, 2)),
@@ -30,7 +39,8 @@ def topology_signals(metrics: DataFrame) -> DataFrame:
         "duplicates": S.banded(F.col("duplicates"), (">", 10, 3), (">=", 3, 2)),
         "churn": S.banded(F.col("churn"), (">", 10, 4), (">=", 3, 2)),
     }
-    return metrics.select(F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), c(k).alias("value"), v.cast("long").alias("points")) for k, v in banded.items()])).alias("s")).select("s.*")
+    own = [c for c in ("project",) if c in metrics.columns]
+    return metrics.select(*own, F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), c(k).alias("value"), v.cast("long").alias("points")) for k, v in banded.items()])).alias("s")).select(*own, "s.*")
 
 
 def capped(points: DataFrame, column: str = "points", cap: int = 20) -> DataFrame:
@@ -54,12 +64,16 @@ def npm_integrity(packages: DataFrame, budget: int = 10) -> DataFrame:
 
 
 def go_integrity(requires: DataFrame, sums: DataFrame, replaces: DataFrame) -> DataFrame:
-    """missing_checksum 5; a replacement costs 8 where it mentions git, else 6 where it is a path."""
-    missing = requires.join(sums.select("package").distinct(), "package", "left_anti").select("package", F.lit("missing_checksum").alias("type"), F.lit(5).alias("points"))
+    """missing_checksum 5; a replacement costs 8 where it mentions git, else 6 where it is a path.
+
+    Where the tables have a project, sums cover the requires of their own project only.
+    """
+    own = [c for c in ("project", "package") if all(c in t.columns for t in (requires, sums, replaces))]
+    missing = requires.join(sums.select(own).distinct(), own, "left_anti").select(*own, F.lit("missing_checksum").alias("type"), F.lit(5).alias("points"))
     git = F.contains("target", F.lit("git"))
     local = F.startswith("target", F.lit("./")) | F.startswith("target", F.lit("../")) | F.startswith("target", F.lit("/"))
     kind = F.when(git, F.struct(F.lit("git_replace").alias("type"), F.lit(8).alias("points"))).when(local, F.struct(F.lit("local_replace").alias("type"), F.lit(6).alias("points")))
-    return missing.unionByName(replaces.withColumn("k", kind).filter("k IS NOT NULL").select("package", "k.type", "k.points"))
+    return missing.unionByName(replaces.withColumn("k", kind).filter("k IS NOT NULL").select(*own, "k.type", "k.points"))
 
 
 def coverage(requires: DataFrame, sums: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def _coloured(edges: DataFrame) -> DataFrame:
         part = cut(back.join(colour, "node").select("node", F.col("c").alias("scc")))
         found.append(part)
         left = cut(left.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    big = reduce(DataFrame.unionByName, found).join(F.broadcast(loops.limit(0)), "node", "left_anti") if found else loops.limit(0)
+    big = reduce(DataFrame.unionByName, found) if found else loops.limit(0)
     sized = big.groupBy("scc").agg(F.count("*").alias("n")).filter("n > 1").select("scc")
     big = cut(big.join(sized, "scc", "left_semi").select("node", "scc"))
     return big.unionByName(loops.join(big.select("node"), "node", "left_anti"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def excluded(rows: DataFrame, patterns: DataFrame, name: str = "name", max_patterns: int = 10_000) -> DataFrame:
+def excluded(rows: DataFrame, patterns: DataFrame, name: str = "name") -> DataFrame:
     """Rows that match no pattern (x, or x/* for x and all below).
 
     Patterns without a wildcard, and the prefixes of wildcards, are joined by equality
@@ -21,6 +21,12 @@ def excluded(rows: DataFrame, patterns: DataFrame, name: str = "name", max_patte
     return rows.join(hit, rows[name] == hit["__n"], "left_anti")
 
 
+def suppressed_modules(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Rows whose module, or else whose package, matches no pattern (those of ``suppress.by_module``)."""
+    named = rows.withColumn("__subject", F.coalesce(F.col("module").cast("string"), F.col("package").cast("string")))
+    return excluded(named, patterns, "__subject").drop("__subject")
+
+
 def in_focus(rows: DataFrame, focus: str, *names: str) -> DataFrame:
     """Rows one of whose names is the focus or below it."""
     keep = F.lit(False)

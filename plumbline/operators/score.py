@@ -40,11 +40,29 @@ def final(sets: DataFrame, taints: DataFrame, hints: DataFrame, engines: DataFra
 
 
 def verdict(gated: DataFrame, denied: DataFrame, fail_on: str = "HIGH") -> DataFrame:
-    """One row: passed, and the first failing package's reason, by package.
+    """One row: passed, and the first failing package's reason, by package; a row per failing project where both tables have one.
 
     The score is checked before denied capabilities of the same package.
     """
-    by_score = gated.filter(S.meets(F.col("level"), fail_on)).select("package", F.lit(0).alias("o"), F.concat(F.lit("risk "), F.col("level"), F.lit(" in package "), F.col("package").cast("string")).alias("reason"))
-    by_deny = denied.select("package", F.lit(1).alias("o"), F.concat(F.lit("denied capability "), F.col("capability"), F.lit(" in package "), F.col("package").cast("string")).alias("reason"))
+    own = [c for c in ("project",) if c in gated.columns and c in denied.columns]
+    by_score = gated.filter(S.meets(F.col("level"), fail_on)).select(*own, "package", F.lit(0).alias("o"), F.concat(F.lit("risk "), F.col("level"), F.lit(" in package "), F.col("package").cast("string")).alias("reason"))
+    by_deny = denied.select(*own, "package", F.lit(1).alias("o"), F.concat(F.lit("denied capability "), F.col("capability"), F.lit(" in package "), F.col("package").cast("string")).alias("reason"))
     first = F.min(F.struct("package", "o", "reason"))
-    return by_score.unionByName(by_deny).agg(F.count("*").alias("n_failing"), first.alias("f")).select((F.col("n_failing") == 0).alias("passed"), "n_failing", F.coalesce("f.reason", F.lit("")).alias("reason"))
+    return by_score.unionByName(by_deny).groupBy(*own).agg(F.count("*").alias("n_failing"), first.alias("f")).select(*own, (F.col("n_failing") == 0).alias("passed"), "n_failing", F.coalesce("f.reason", F.lit("")).alias("reason"))
+
+
+def health_gate(health: DataFrame, least: int = 0, block_archived: bool = False) -> DataFrame:
+    """module, reason: modules (module, score, archived) that are archived, or whose health is below ``least``."""
+    archived = F.coalesce("archived", F.lit(False)) & F.lit(block_archived)
+    low = (F.lit(least) > 0) & (F.col("score") < least)
+    name = F.col("module").cast("string")
+    reason = F.when(archived, F.concat(F.lit("module "), name, F.lit(" is archived"))).when(low, F.concat(F.lit("module "), name, F.lit(" has health "), F.col("score").cast("string"), F.lit(f", below {least}")))
+    return health.select("module", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def gated_by_health(verdicts: DataFrame, failing: DataFrame) -> DataFrame:
+    """Verdicts (project, passed, n_failing, reason) of which those that passed fail at the first failing module (project, module, reason)."""
+    first = failing.groupBy("project").agg(F.count("*").alias("__n"), F.min(F.struct("module", "reason"))["reason"].alias("__reason"))
+    both = verdicts.join(first, "project", "left")
+    fails = F.col("passed") & F.col("__n").isNotNull()
+    return both.select("project", (F.col("passed") & ~fails).alias("passed"), F.when(fails, F.col("__n")).otherwise(F.col("n_failing")).alias("n_failing"), F.when(fails, F.col("__reason")).otherwise(F.col("reason")).alias("reason"))

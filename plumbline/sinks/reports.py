@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -31,6 +31,56 @@ def table(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     return df.select(F.concat_ws("  ", *[fitted(F.coalesce(F.col(c).cast("string"), F.lit("")), w) for c, w in widths.items()]).alias("value"))
 
 
+def capability_lines(sets: DataFrame) -> DataFrame:
+    """Text lines of packages (package, caps, score, level), the highest score first."""
+    rows = sets.select("package", F.array_join("caps", ", ").alias("capabilities"), "score", "level").orderBy(F.desc("score"), "package")
+    return table(rows, {"package": 50, "capabilities": 35, "score": 5, "level": 6})
+
+
+def health_lines(health: DataFrame, vulns: DataFrame) -> DataFrame:
+    """Text lines of modules (module, version, score, n_cve, archived), then of their vulnerabilities (module, id)."""
+    status = F.when(F.coalesce("archived", F.lit(False)), "ARCHIVED").otherwise("OK")
+    top = table(health.select("module", "version", "score", "n_cve", status.alias("status")), {"module": 50, "version": 12, "score": 5, "n_cve": 4, "status": 8})
+    below = table(vulns.select("module", "id"), {"module": 50, "id": 20})
+    return top.withColumn("o", F.lit(0)).unionByName(below.withColumn("o", F.lit(1))).orderBy("o", "value").select("value")
+
+
+def taint_lines(findings: DataFrame) -> DataFrame:
+    """Text lines of findings (package, source, sink, risk, note, confidence), each flow once, the highest risk first."""
+    once = findings.groupBy("package", "source", "sink").agg(F.min_by(F.struct("risk", "note", "confidence"), F.struct(-S.risk_value(F.col("risk")), -F.col("confidence"), "note")).alias("f")).select("package", "source", "sink", "f.*")
+    sure = F.when(F.col("confidence") > 0, F.format_string(" [conf: %.2f]", F.col("confidence").cast("double"))).otherwise("")
+    line = F.concat_ws("  ", fitted(F.col("risk"), 6), fitted(F.col("package").cast("string"), 40), fitted(F.concat_ws(" → ", "source", "sink"), 18), F.concat(F.coalesce("note", F.lit("")), sure))
+    return once.orderBy(F.desc(S.risk_value(F.col("risk"))), "package", "source", "sink").select(line.alias("value"))
+
+
+def upgrade_lines(changes: DataFrame, breaking: DataFrame, added: DataFrame) -> DataFrame:
+    """Text lines of an upgrade: versions (package, old_version, new_version), broken symbols (package, symbol, change, type, new_type), new dependencies (package, version)."""
+    v = changes.select(F.lit(0).alias("o"), F.concat_ws(" ", F.col("package"), F.col("old_version"), F.lit("→"), F.col("new_version")).alias("value"))
+    b = breaking.select(F.lit(1).alias("o"), F.concat(F.lit("  ["), F.col("change"), F.lit("] "), F.concat_ws(".", "package", "symbol"), F.lit(" old: "), F.coalesce("type", F.lit("")), F.lit(" new: "), F.coalesce("new_type", F.lit(""))).alias("value"))
+    n = added.select(F.lit(2).alias("o"), F.concat(F.lit("  + "), F.concat_ws("@", "package", "version")).alias("value"))
+    return v.unionByName(b).unionByName(n).orderBy("o", "value").select("value")
+
+
+def impact_lines(affected: DataFrame, mains: DataFrame, loc: DataFrame) -> DataFrame:
+    """Text lines of what a removal touches: affected (node, depth), which of them are mains (node), and their lines of code (node, loc)."""
+    hit = affected.join(mains.select("node").distinct().withColumn("main", F.lit(True)), "node", "left").join(loc, "node", "left")
+    head = hit.agg(F.count("*").alias("n"), F.count("main").alias("m"), F.coalesce(F.sum("loc"), F.lit(0)).alias("l"), F.coalesce(F.max("depth"), F.lit(0)).alias("d"))
+    named = (("Affected packages: ", "n"), ("Affected binaries: ", "m"), ("Lines of code: ", "l"), ("Depth: ", "d"))
+    top = head.select(F.posexplode(F.array(*[F.concat(F.lit(k), F.col(c).cast("string")) for k, c in named])).alias("o", "value"))
+    rows = hit.select(F.lit(9).alias("o"), F.concat(F.lit("  "), F.col("node").cast("string"), F.when(F.col("main"), " (binary)").otherwise("")).alias("value"))
+    return top.unionByName(rows).orderBy("o", "value").select("value")
+
+
+def capability_diff_lines(diffs: DataFrame) -> DataFrame:
+    """Text lines of (package, added, removed, escalated): a mark for what escalates, a line per capability, a last one as a warning."""
+    sign = lambda c, mark: F.transform(F.col(c), lambda x: F.concat(F.lit(f"    {mark} "), x))
+    head = F.array(F.concat(F.when(F.col("escalated"), "! ").otherwise("  "), F.col("package").cast("string")))
+    rows = diffs.select(F.lit(0).alias("o"), F.col("package").cast("string").alias("p"), F.posexplode(F.concat(head, sign("added", "+"), sign("removed", "-"))).alias("no", "value"))
+    n = diffs.agg(F.count("*").alias("n"), F.coalesce(F.bool_or("escalated"), F.lit(False)).alias("bad"))
+    last = n.select(F.lit(1).alias("o"), F.lit("").alias("p"), F.lit(0).alias("no"), F.when(F.col("n") == 0, "No capability changes.").when(F.col("bad"), "Capabilities escalate: review before upgrading").alias("value")).filter("value IS NOT NULL")
+    return rows.unionByName(last).orderBy("o", "p", "no").select("value")
+
+
 def health_band(score: Column) -> Column:
     return F.when(score < 40, "HIGH").when(score < 70, "MEDIUM").otherwise("LOW")
 
@@ -130,4 +180,5 @@ def append_snapshot(history: DataFrame, snapshot: DataFrame, keep: int = RETENTI
     last = history.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
     new = snapshot.crossJoin(F.broadcast(last)).withColumn("seq", F.col("last") + 1).drop("last")
     both = history.unionByName(new, allowMissingColumns=True)
-    return both.withColumn("__r", F.dense_rank().over(Window.orderBy(F.desc("seq")))).filter(F.col("__r") <= keep).drop("__r")
+    kept = both.select("seq").distinct().orderBy(F.desc("seq")).limit(keep)
+    return both.join(F.broadcast(kept), "seq", "left_semi")

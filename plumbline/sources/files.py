@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .manifests import lines
 
 EXTENSIONS = {
     "go": ["go"], "node": ["js", "mjs", "cjs", "ts", "tsx"], "php": ["php"], "python": ["py"], "java": ["java"], "rust": ["rs"], "ruby": ["rb"], "dart": ["dart"], "elixir": ["ex", "exs"], "swift": ["swift"], "dotnet": ["cs"],
     "kotlin": ["kt", "kts"], "scala": ["scala"], "cpp": ["c", "cc", "cpp", "cxx", "h", "hpp"], "haskell": ["hs", "lhs"], "clojure": ["clj", "cljc", "cljs"], "erlang": ["erl", "hrl"], "ocaml": ["ml", "mli"], "julia": ["jl"], "r": ["r", "R"], "perl": ["pl", "pm", "t"], "lua": ["lua"],
 }
-SKIP = ["node_modules", "vendor", ".git", "target", "build", "dist", "__pycache__", ".venv", "venv", "_build", "deps"]
+#: folders that hold what tools made; in what others ship only those of version control and caches
+SKIP = [".git", "target", "build", "dist", "__pycache__", ".venv", "venv", "_build"]
+SKIP_SHIPPED = [".git", "__pycache__"]
+#: where the code of dependencies lies, and the group that names its owner
+OWNERS = [
+    r"^(?:.*/)?node_modules/((?:@[^/]+/)?[^/]+)/", r"^(?:.*/)?gems/([^/]+)-\d[^/]*/", r"^(?:.*/)?site-packages/([^/]+)/", r"^(?:.*/)?deps/([^/]+)/",
+]
+VENDORED = r"^(?:.*/)?vendor/(.+)/[^/]*$"
 
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -24,12 +33,36 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return raw.select(F.split(below, "/")[0].alias("project"), F.regexp_replace(below, "^[^/]+/", "").alias("path"), F.col("content").cast("string").alias("content"))
 
 
+def owner(path: Column) -> Column:
+    """The dependency whose folder a file lies in, by the folder's name; null for a project's own files."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in OWNERS])
+
+
 def sources(files: DataFrame) -> DataFrame:
-    """lang, project, path, content of source files outside of folders that hold other people's code."""
+    """Source files with their lang, a project's own and those of its dependencies."""
     ext = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
     lang = F.try_element_at(F.create_map(*[F.lit(x) for la, es in EXTENSIONS.items() for e in es for x in (e, la)]), ext)
-    skip = F.exists(F.split("path", "/"), lambda x: x.isin(*SKIP))
-    return files.filter(~skip).withColumn("lang", lang).filter("lang IS NOT NULL")
+    shipped = owner(F.col("path")).isNotNull() | F.col("path").rlike(VENDORED)
+    below = F.regexp_replace("path", r"^(?:.*/)?(?:node_modules|site-packages|gems|deps|vendor)/", "")
+    skip = lambda c, names: F.exists(F.split(c, "/"), lambda x: x.isin(*names))
+    keep = F.when(shipped, ~skip(below, SKIP_SHIPPED)).otherwise(~skip(F.col("path"), SKIP))
+    return files.filter(keep).withColumn("lang", lang).filter("lang IS NOT NULL")
+
+
+def owners(src: DataFrame, packages: DataFrame) -> DataFrame:
+    """project, path, module: the dependency that each file belongs to, null for a project's own.
+
+    In vendor folders it is the longest beginning of the path that names one of
+    ``packages`` (project, name), else the folder. Folders of installed packages are
+    compared with names as their language folds them.
+    """
+    fold = S.python_name
+    named = packages.select("project", fold(F.col("name")).alias("folded"), F.col("name").alias("known")).groupBy("project", "folded").agg(F.min("known").alias("known"))
+    at = F.when(owner(F.col("path")).isNull(), F.nullif(F.regexp_extract("path", VENDORED, 1), F.lit("")))
+    paths = src.select("project", "path", owner(F.col("path")).alias("folder"), at.alias("at")).distinct()
+    each = paths.select("*", F.explode_outer(F.coalesce(S.prefixes(F.col("at"), "/"), F.array(F.col("folder")))).alias("p")).withColumn("folded", fold(F.col("p")))
+    best = F.max_by("known", F.when(F.col("known").isNotNull(), F.length("p")))
+    return each.join(named, ["project", "folded"], "left").groupBy("project", "path").agg(F.coalesce(best, F.first("folder"), F.first("at")).alias("module"))
 
 
 def go_list(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +84,8 @@ def go_mod(files: DataFrame, single_line_direct: bool = False) -> DataFrame:
     """project, kind (require or replace), module, version, indirect, target of go.mod files.
 
     With ``single_line_direct`` a one-line require counts as direct even when marked
-    indirect, as the topology metrics have it.
+    indirect, as the topology metrics have it. ``go_requires`` has it as the comparison of
+    versions does.
     """
     rows = lines(files.filter(F.col("path").rlike(r"(^|/)go\.mod$")))
     w = Window.partitionBy("project", "path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
@@ -68,6 +102,12 @@ def go_mod(files: DataFrame, single_line_direct: bool = False) -> DataFrame:
     return rows.select("project", "kind", left[0].alias("module"), F.coalesce(F.get(left, F.lit(1)), F.lit("")).alias("version"), indirect.alias("indirect"), target.alias("target"), F.col("no").alias("seq"))
 
 
+def go_requires(files: DataFrame) -> DataFrame:
+    """project, package, version of requires that have both; of several of a module the last."""
+    rows = go_mod(files).filter("kind = 'require' AND version <> ''")
+    return rows.groupBy("project", F.col("module").alias("package")).agg(F.max_by("version", "seq").alias("version"))
+
+
 def go_sum(files: DataFrame) -> DataFrame:
     """project, package: first field of lines of three fields or more."""
     f = F.split(F.trim("value"), r"\s+")
@@ -75,13 +115,13 @@ def go_sum(files: DataFrame) -> DataFrame:
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
-    """project, file, sign, text: added and removed lines of unified diffs (project, content)."""
+    """project, file, no, sign, text: added and removed lines of unified diffs (project, content)."""
     rows = lines(diffs.withColumn("path", F.lit("diff")))
     w = Window.partitionBy("project").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.nullif(F.regexp_extract("value", r"^\+\+\+ (?:b/)?(\S+)", 1), F.lit(""))
     rows = rows.withColumn("file", F.last(head, ignorenulls=True).over(w))
     sign = F.substring("value", 1, 1)
-    return rows.filter(sign.isin("+", "-") & ~F.col("value").rlike(r"^(?:\+\+\+|---) ")).select("project", "file", sign.alias("sign"), F.expr("substring(value, 2)").alias("text"))
+    return rows.filter(sign.isin("+", "-") & ~F.col("value").rlike(r"^(?:\+\+\+|---) ")).select("project", "file", "no", sign.alias("sign"), F.expr("substring(value, 2)").alias("text"))
 
 
 #: name and version of a dependency in one line of each ecosystem's manifest
@@ -98,8 +138,8 @@ def diff_versions(diffs: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
     p = DIFF_LINE[lang]
     n = 3 if lang == "java" else 1
     pick = lambda g: F.coalesce(*[F.nullif(F.regexp_extract("text", p, i), F.lit("")) for i in range(g, g + n, 2)], F.lit(""))
-    rows = diff_lines(diffs).select("project", "sign", pick(1).alias("package"), pick(2).alias("version")).filter("package <> ''")
-    side = lambda s: rows.filter(F.col("sign") == s).groupBy("project", "package").agg(F.max("version").alias("version"))
+    rows = diff_lines(diffs).select("project", "sign", "no", pick(1).alias("package"), pick(2).alias("version")).filter("package <> ''")
+    side = lambda s: rows.filter(F.col("sign") == s).groupBy("project", "package").agg(F.max_by("version", "no").alias("version"))
     return side("-"), side("+")
 
 
@@ -155,6 +195,12 @@ class Policy:
         return spark.createDataFrame(rows, "package string, capability string, taint string, expires string")
 
 
+def glob(pattern: str) -> str:
+    """A regular expression of a path pattern: * is within a folder, ** any depth."""
+    parts = re.split(r"(\*\*/?|\*|\?)", pattern)
+    return "^" + "".join({"**": ".*", "**/": "(?:.*/)?", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts) + "$"
+
+
 def closest(word: str, of: list[str], most: int = 3) -> str | None:
     """The nearest name by edit distance, if that is at most ``most``."""
 
@@ -170,8 +216,15 @@ def closest(word: str, of: list[str], most: int = 3) -> str | None:
     return best if best is not None and distance(word, best) <= most else None
 
 
-def trace_events(rows: DataFrame) -> DataFrame:
-    """kind, detail: file, network and process events of system call traces in ``value``, each once."""
+def trace_events(rows: DataFrame, form: str = "calls") -> DataFrame:
+    """kind, detail: file, network and process events in ``value``, each once.
+
+    ``calls`` are system calls with arguments, ``probes`` lines of a kind (fs, net, exec) and a detail.
+    """
+    if form == "probes":
+        line = F.trim("value")
+        kind = F.try_element_at(F.create_map(*[F.lit(x) for x in ("fs", "filesystem", "net", "network", "exec", "subprocess")]), F.substring_index(line, " ", 1))
+        return rows.filter(F.contains(line, F.lit(" "))).select(kind.alias("kind"), F.regexp_replace(line, "^[^ ]* ", "").alias("detail")).filter("kind IS NOT NULL").dropDuplicates(["kind", "detail"])
     call = F.regexp_extract("value", r"(?:^|\s|\])(\w+)\(", 1)
     text = F.regexp_extract("value", r'"([^"]*)"', 1)
     port, host = F.regexp_extract("value", r"sin6?_port=htons\((\d+)\)", 1), F.coalesce(F.nullif(F.regexp_extract("value", r'inet_addr\("([^"]+)"\)', 1), F.lit("")), F.nullif(F.regexp_extract("value", r'inet_pton\(AF_INET6, "([^"]+)"', 1), F.lit("")), F.lit(""))
@@ -191,7 +244,7 @@ def install_scripts(files: DataFrame) -> DataFrame:
     doc = files.filter(F.col("path").rlike(r"(^|/)package\.json$")).select("project", "path", F.from_json("content", "name string, scripts map<string,string>").alias("d"))
     hooks = doc.select("project", "path", F.coalesce("d.name", "project").alias("package"), F.explode("d.scripts").alias("hook", "script")).filter(F.col("hook").isin("preinstall", "install", "postinstall"))
     bad = hooks.filter(F.col("script").rlike(r"curl|wget|bash|sh |/bin/sh"))
-    return bad.select("package", F.explode(F.array(F.lit("exec"), F.lit("network"))).alias("capability"), F.col("path").alias("file"), F.lit(0).alias("line"), F.concat("hook", F.lit(": "), F.substring("script", 1, 80)).alias("context"), F.lit("installScript").alias("via"), F.lit(0.85).alias("confidence"))
+    return bad.select("project", "package", F.explode(F.array(F.lit("exec"), F.lit("network"))).alias("capability"), F.col("path").alias("file"), F.lit(0).alias("line"), F.concat("hook", F.lit(": "), F.substring("script", 1, 80)).alias("context"), F.lit("installScript").alias("via"), F.lit(0.85).alias("confidence"))
 
 
 def workspace(member_graphs: list[tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:

@@ -341,9 +341,12 @@ def workspace_members(files: DataFrame) -> DataFrame:
 
 
 def members(files: DataFrame) -> DataFrame:
-    """Files of workspace members, each member a project of its own (project/folder), with its rank."""
-    m = workspace_members(files)
-    like = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.+()\[\]{}^$|?])", r"\\$1"), r"\*+", "[^/]+"), F.lit("/"))
-    hit = files.join(F.broadcast(m.withColumnRenamed("project", "w").withColumn("like", like)), (F.col("project") == F.col("w")) & F.expr("path RLIKE `like`"))
-    folder = F.expr("regexp_extract(path, concat('(', `like`, ')'), 1)")
-    return hit.select(F.concat("project", F.lit("/"), F.regexp_replace(folder, "/$", "")).alias("project"), F.expr("substring(path, length(regexp_extract(path, concat('(', `like`, ')'), 1)) + 1)").alias("path"), "content", "rank")
+    """Files of workspace members, each member a project of its own (project/folder), with its rank.
+
+    A project's few patterns are one row, which its files meet by the project's name.
+    """
+    like = F.concat(F.lit("^("), F.regexp_replace(F.regexp_replace("pattern", r"([.+()\[\]{}^$|?])", r"\\$1"), r"\*+", "[^/]+"), F.lit(")/"))
+    m = workspace_members(files).groupBy("project").agg(F.collect_list(F.struct("rank", like.alias("like"))).alias("patterns"))
+    hit = files.join(m, "project").withColumn("m", F.explode("patterns")).filter(F.expr("path RLIKE m.like"))
+    folder = F.expr("regexp_extract(path, m.like, 1)")
+    return hit.select(F.concat("project", F.lit("/"), folder).alias("project"), F.substring("path", F.length(folder) + 2, F.length("path")).alias("path"), "content", "m.rank")

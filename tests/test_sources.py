@@ -173,7 +173,7 @@ def test_tree(spark, tmp_path):
     (tmp_path / "p" / "node_modules" / "b.js").write_text("x")
     df = files.read_tree(spark, str(tmp_path))
     assert {(r.project, r.path) for r in df.collect()} == {("p", "a.py"), ("p", "node_modules/b.js")}
-    assert [(r.lang, r.path) for r in files.sources(df).collect()] == [("python", "a.py")]
+    assert sorted((r.lang, r.path) for r in files.sources(df).collect()) == [("node", "node_modules/b.js"), ("python", "a.py")]
 
 
 def test_catalog(spark):
