@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textops import give_back
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs in this process alone."""
@@ -86,6 +88,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    give_back()
 
 
 def clustered(df: DataFrame, key: str) -> DataFrame:

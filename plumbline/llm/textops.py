@@ -9,6 +9,7 @@ and depend only on the words, never on the batch they come in.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,6 +167,16 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 2
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that allocators hold to the system: a worker that has done its part stays, with its peak, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def winnow(g: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:

@@ -186,11 +186,12 @@ class Together:
                 at = below[at][b]
             spelt[at] = (len(data), score)
         k = len(below)
-        self.step = np.zeros((k, 256), np.int32)
+        kind = np.min_scalar_type(k)  # of the smallest kind, as each worker holds the table
+        self.step = np.zeros((k, 256), kind)
         self.size, self.score = np.zeros(k, np.int64), np.zeros(k)
         for at, (size, score) in spelt.items():
             self.size[at], self.score[at] = size, score
-        self.piece, self.shorter, back = np.zeros(k, np.int32), np.zeros(k, np.int32), np.zeros(k, np.int32)
+        self.piece, self.shorter, back = np.zeros(k, kind), np.zeros(k, kind), np.zeros(k, kind)
         level = [0]
         while level:
             further = []
@@ -198,7 +199,7 @@ class Together:
                 own = back[at]
                 self.shorter[at] = self.piece[own] if at else 0
                 self.piece[at] = at if at in spelt else self.shorter[at]
-                row = self.step[own].copy() if at else np.zeros(256, np.int32)
+                row = self.step[own].copy() if at else np.zeros(256, kind)
                 for b, to in below[at].items():
                     back[to] = row[b]
                     row[b] = to
@@ -210,7 +211,7 @@ class Together:
         """Pieces of the best segmentation of each unit; the longest unit comes first, and each can be segmented."""
         best, pieces = np.full((int(n[0]) + 1, len(n)), -np.inf), np.zeros((int(n[0]) + 1, len(n)), np.int32)
         best[0] = 0.0
-        state = np.zeros(len(n), np.int32)
+        state = np.zeros(len(n), self.step.dtype)
         live = len(n) - np.searchsorted(n[::-1], np.arange(int(n[0])), side="right")
         for at in range(int(n[0])):
             k = int(live[at])
