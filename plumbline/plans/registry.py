@@ -518,9 +518,9 @@ def _(get, spark):
     return graph.bfs(get("d_edges1"), get("d_mains"))
 
 
-@query("reach_closure", "WITH RECURSIVE w AS (SELECT node FROM d_mains UNION SELECT dst FROM w JOIN d_edges16 ON src = w.node) SELECT node FROM w")
+@query("reach_closure", "WITH RECURSIVE w AS (SELECT node FROM d_mains UNION SELECT dst FROM w JOIN d_edges1 ON src = w.node) SELECT node FROM w")
 def _(get, spark):
-    return graph.closure(get("d_edges16"), get("d_mains"))
+    return graph.closure(get("d_edges1"), get("d_mains"))
 
 
 _IMPACT = "(WITH RECURSIVE w AS (SELECT package AS node, 0 AS depth FROM d_packages WHERE module % 10 = 3 UNION SELECT e.src, depth + 1 FROM w JOIN d_dag16 e ON e.dst = w.node WHERE e.src NOT IN (SELECT package FROM d_packages WHERE module % 10 = 3)) SELECT node, max(depth) AS depth FROM w WHERE depth > 0 GROUP BY node) i"
