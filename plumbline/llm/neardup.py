@@ -593,4 +593,4 @@ def deduplicated(docs: DataFrame, t: float = THRESHOLD, broadcast_ids: int = BRO
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Operator 6 over all documents."""
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -60,6 +60,15 @@ def test_overlaps_by_any_width_of_bitmaps(monkeypatch, few, size):
     assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
 
 
+def test_rows_of_op6_are_those_of_documents(spark, sf):
+    from plumbline.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = QUERIES["op6_ngram_jaccard"](spark, sf).collect()
+    assert len(rows) == docs.count()
+    assert {tuple(r) for r in rows} == by_brute_force({r.doc_id: words(r.text) for r in docs.collect() if words(r.text)}) | {(r.doc_id, r.doc_id, 0) for r in docs.collect() if not words(r.text)}
+
+
 def test_links_of_awkward_rows(spark):
     got = sorted(tuple(r) for r in neardup.linked(awkward(spark)).collect())
     assert got == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (7, 7, 0), (8, 8, 0), (9, 9, 0)]
