@@ -83,13 +83,15 @@ def gram_sets(raw: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndar
     if len(short):
         h = np.concatenate([h, np.array([span_of(w.hash[w.first[i] : w.first[i + 1]]) for i in short], U)])
         doc = np.concatenate([doc, short])
+    n_docs = w.n_docs
+    del w, g, at  # else they are held beside what sorting takes
     order = np.argsort(h)
     order = order[np.argsort(doc[order], kind="stable")]
     h, doc = h[order], doc[order]
     if len(h):
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
         h, doc = h[first], doc[first]
-    return h, np.bincount(doc, minlength=w.n_docs)
+    return h, np.bincount(doc, minlength=n_docs)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     begins[cuts] |= inside[1:-1][cuts]
     ends[cuts - 1] |= inside[1:-1][cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    del inside, begins, ends
     out = np.empty(len(start), U)
     at = 0
     with np.errstate(over="ignore"):
@@ -114,7 +115,10 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
             p, inv = _tables(hi - lo + 1)
             prefix = np.empty(hi - lo + 1, U)
             prefix[0] = 0
-            np.cumsum(_VALUES[t[lo:hi]] * p[: hi - lo], out=prefix[1:])
+            values = _VALUES[t[lo:hi]]
+            values *= p[: hi - lo]
+            np.cumsum(values, out=prefix[1:])
+            del values
             s, e = start[at:to] - lo, end[at:to] - lo
             out[at:to] = (prefix[e] - prefix[s]) * inv[s] + (e - s).astype(U)
             at = to

@@ -132,14 +132,18 @@ class Counter(dict):
         """What ``text`` gives for each; the distinct units of all texts are counted together."""
         column = column.cast(pa.large_string()).fill_null("")
         column = pc.replace_substring(column, _MARK, " ")
+        spaced, nothing = (x.to_numpy(zero_copy_only=False) for x in (pc.starts_with(column, " "), pc.equal(column, "")))
         units = pc.split_pattern(column, " ")
-        each = units.flatten().dictionary_encode()
-        pieces = self.units(each.dictionary)
-        sums = np.concatenate([[0], np.cumsum(pieces[each.indices.to_numpy()])])
         ends = np.cumsum(pc.list_value_length(units).to_numpy())
+        each = units.flatten().dictionary_encode()
+        distinct, at = each.dictionary, each.indices.to_numpy()
+        del column, units, each  # else they are held beside the tables of counting
+        pa.default_memory_pool().release_unused()
+        pieces = self.units(distinct)
+        sums = np.concatenate([[0], np.cumsum(pieces[at])])
         out = np.diff(sums[np.concatenate([[0], ends])])
-        out[pc.starts_with(column, " ").to_numpy(zero_copy_only=False)] -= self.count("")  # no unit before the first space
-        out[pc.equal(column, "").to_numpy(zero_copy_only=False)] = 0
+        out[spaced] -= self.count("")  # no unit before the first space
+        out[nothing] = 0
         return out
 
     def units(self, column: pa.Array) -> np.ndarray:
