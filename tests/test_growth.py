@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions.checkpoints import cut
+from plumbline.operators import interproc
 
 
 def size_in_bytes(df):
@@ -17,3 +18,19 @@ def test_cut_ends_the_estimate_of_size(spark):
     assert size_in_bytes(a) == first
     assert {tuple(r) for r in a.collect()} == {(i, i) for i in range(9)}
     assert [f.dataType.simpleString() for f in a.schema] == ["bigint", "bigint"]
+
+
+def test_fixpoint_writes_one_table_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(interproc, "cut", lambda df: written.append(1) or cut(df))
+
+    def tables(length):
+        written.clear()
+        nodes = spark.createDataFrame([(f"{i:02}", f"{i:02}") for i in range(length + 1)], "node string, fn string")
+        edges = spark.createDataFrame([(f"{i:02}", f"{i + 1:02}") for i in range(length)], "src string, dst string")
+        caps, states = interproc.summaries(nodes, edges, nodes.select("fn", F.lit("exec").alias("capability"), F.lit(0.9).alias("confidence")))
+        return len(written), [r.depth for r in states.orderBy("node").collect()]
+
+    (few, _), (many, depths) = tables(4), tables(8)
+    assert depths == [0, 3, 2, 1, 0, 3, 2, 1, 0]
+    assert many - few == 4
