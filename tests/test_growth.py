@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions.checkpoints import cut
-from plumbline.operators import interproc
+from plumbline.operators import graph, interproc
 
 
 def size_in_bytes(df):
@@ -34,3 +34,9 @@ def test_fixpoint_writes_one_table_a_round(spark, monkeypatch):
     (few, _), (many, depths) = tables(4), tables(8)
     assert depths == [0, 3, 2, 1, 0, 3, 2, 1, 0]
     assert many - few == 4
+
+
+def test_searches_of_few_modules_are_spread(spark):
+    modules = spark.range(40).groupBy(F.col("id").alias("module")).agg(F.max("id").alias("score"))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long")
+    assert graph.transitive_scores(modules, edges).rdd.getNumPartitions() > 1
