@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions.checkpoints import cut
-from plumbline.operators import graph, interproc
+from plumbline.operators import capset, graph, interproc
 
 
 def size_in_bytes(df):
@@ -37,6 +37,12 @@ def test_fixpoint_writes_one_table_a_round(spark, monkeypatch):
 
 
 def test_searches_of_few_modules_are_spread(spark):
-    modules = spark.range(40).groupBy(F.col("id").alias("module")).agg(F.max("id").alias("score"))
+    modules = spark.range(400).groupBy((F.col("id") % 40).alias("module")).agg(F.max("id").alias("score"))
     edges = spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long")
-    assert graph.transitive_scores(modules, edges).rdd.getNumPartitions() > 1
+    assert graph.transitive_scores(modules, edges).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_a_mean_of_070_is_not_below_it(spark):
+    rows = [(n, "exec", c) for n in range(1, 31) for c in [0.6] * 2 * n + [0.9] * n]
+    got = capset.per_capability(spark.createDataFrame(rows, "package long, capability string, confidence double").coalesce(1))
+    assert {(r.confidence, r.n_evidence == 3 * r.package) for r in got.collect()} == {(0.7, True)}
